@@ -7,6 +7,7 @@ import tempfile
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +36,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def filled(column: pa.Array) -> pa.Array:
     """A string column without nulls (null reads as empty)."""
     return pc.fill_null(column.cast(pa.string()), "")
+
+
+def plus(schema: StructType, **types: str) -> StructType:
+    """A schema with more columns; ``schema`` itself stays as it is."""
+    out = StructType(list(schema.fields))
+    for name, kind in types.items():
+        out = out.add(name, DataType.fromDDL(kind))
+    return out
