@@ -25,8 +25,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: metric -> (numerator, denominator, scale, least spread of a limit)
 METRICS = {
     "symbols": ("n_symbols", "word_chars", 1000, 20),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 50),
-    "repeats": ("n_repeat_words", "n_words", 1000, 30),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 120),
+    "repeats": ("n_repeat_words", "n_words", 1000, 65),
     "word_length": ("word_chars", "n_words", 100, 60),
 }
 WIDTH = 5

@@ -116,7 +116,7 @@ def _fit(rows: list, n: int, l1: float, counterfactual: float, rounds: int) -> t
 
     def fit(l1: float, l2: float, free: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         # Lipschitz bound: rows have few of the chosen features, whose columns are rare
-        heavy = np.bincount(row, minlength=len(y)).max(initial=1) + 1
+        heavy = np.bincount(row, free[col], minlength=len(y)).max(initial=1) + 1
         cf = counterfactual / max(len(pairs), 1)
         step = 1.0 / (0.25 * heavy + l2 + 2 * cf * (2 * heavy if pairs else 0) * max(len(pairs), 1))
         v, vb, t = w.copy(), bias, 1.0
@@ -135,11 +135,11 @@ def _fit(rows: list, n: int, l1: float, counterfactual: float, rounds: int) -> t
         return w, bias
 
     w, bias = fit(l1, 0.0, np.ones(n), np.zeros(n), 0.0)
-    return fit(0.0, 1e-4, (w > 1e-3).astype(float), w, bias)  # without the shrinkage of l1
+    return fit(0.0, 1e-5, (w > 1e-3).astype(float), w, bias)  # without the shrinkage of l1
 
 
 def train(
-    labelled: DataFrame, max_rows: int = 16_000, max_features: int = 20_000, least: int = 3, l1: float = 5e-4, counterfactual: float = 1.0, rounds: int = 600
+    labelled: DataFrame, max_rows: int = 16_000, max_features: int = 20_000, least: int = 3, l1: float = 5e-4, counterfactual: float = 1.0, rounds: int = 400
 ) -> Model:
     """``labelled(doc_id, text, toxic)`` to a model.
 
