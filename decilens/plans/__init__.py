@@ -1,0 +1,8 @@
+"""Registered queries."""
+
+
+def all_queries():
+    """All queries of the library and their oracles."""
+    from decilens.plans import queries
+
+    return queries.QUERIES, queries.ORACLES
