@@ -3,11 +3,12 @@
 1. Each text becomes a set of word shingles and a MinHash signature of ``bands * rows``
    values (16 bits each). Texts with the same set are one node, the least doc_id.
 2. Nodes that agree on all rows of a band fall into one bucket.
-3. Star round: in each bucket the least node is compared with the others. Rest round: in
-   each bucket that verified links have not yet joined into one component, the nodes
-   outside its largest component are compared with the nodes of all other components.
-   After it, two nodes of one bucket have been compared or are connected, so no pairs
-   within a connected group need to be listed and no bucket is capped.
+3. Star round: in each bucket the least node, its leader, is compared with the others.
+   Rest round: the nodes that share buckets of one leader are its cluster. In each cluster
+   that verified links have not yet joined into one component, the nodes outside its largest
+   component are compared with all others, block against block inside a task. After it, two
+   nodes of one bucket have been compared or are connected: no pairs of a group are written
+   out, and no bucket is capped.
 4. A comparison reads the two signatures batch by batch and stops as soon as the posterior
    probability that the similarity reaches the threshold falls below ``miss``.
 5. Survivors are decided on their full shingle sets, so false links cannot occur.
@@ -31,8 +32,8 @@ from decilens.llm.components import connected_components
 from decilens.llm.shingles import shingle_sets
 
 BANDS, ROWS, BATCH = 43, 5, 43
-#: Nodes compared with one leader in one task; a leader with more is repeated in several.
-MEMBERS = 512
+#: Nodes compared with one leader in one task, and nodes of each side of a block.
+MEMBERS = BLOCK = 512
 
 
 @lru_cache(1)
@@ -134,6 +135,62 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
+def _blocks(width: int, num: int, den: int, limits: list[tuple[int, int]]):
+    """Rows (leader, bi, bj, other, node, component, sig, text): of each block the nodes to
+    compare (other is false), then those to compare them with."""
+
+    def links(one: list, two: list) -> Iterator[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        sa, sb = (np.stack([x[2] for x in side]) for side in (one, two))
+        size = np.array([len(x[3]) for x in two])
+        flat = np.concatenate([x[3] for x in two])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(two)), size)[order]
+        for (node, component, _, s), sig in zip(one, sa, strict=True):
+            left, seen, matches = np.arange(len(two)), 0, np.zeros(len(two), np.int32)
+            for end, least in limits:
+                matches = matches + (sb[left, seen:end] == sig[seen:end]).sum(1)
+                keep = matches >= least
+                left, matches, seen = left[keep], matches[keep], end
+            left = [j for j in left.tolist() if find(two[j][1]) != find(component)]
+            if not left:
+                continue
+            lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(two))
+            for j in left:
+                if den * both[j] >= num * (len(s) + size[j] - both[j]) and find(two[j][1]) != find(component):
+                    root[find(two[j][1])] = find(component)
+                    yield node, two[j][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, one, two = None, [], []
+        kind = ["a", "b"]
+
+        def flush() -> pa.RecordBatch:
+            found = list(links(one, two)) if one and two else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], kind)
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for *now, other, node, component, sig, s in zip(*cols, shingle_sets(filled(batch.column(7)), width), strict=True):
+                if now != key:
+                    yield flush()
+                    key, one, two = now, [], []
+                if len(s):
+                    (two if other else one).append((node, component, np.frombuffer(sig, np.uint16), s))
+        yield flush()
+
+    return run
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, num: int, den: int, limits) -> DataFrame:
     """Of candidate ``pairs(leader, node)``, those whose texts are similar, as (a, b)."""
     held = (
@@ -158,6 +215,29 @@ def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, num:
     return rows.mapInArrow(_verify(width, num, den), "a long, b long")
 
 
+def _rest(first: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The blocks of the clusters that fall into several components."""
+    cluster = first.union(first.select("leader", F.col("leader").alias("node")).distinct())
+    cluster = cluster.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component"))
+    by = cluster.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = by.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    split = split.select("leader", F.col("top.component").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("cols"))
+    cluster = cluster.join(split, "leader")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    one = cluster.where("component <> largest").select("leader", own("rows").alias("bi"), all_of("cols").alias("bj"), F.lit(False).alias("other"), "node", "component")
+    two = cluster.select("leader", all_of("rows").alias("bi"), own("cols").alias("bj"), F.lit(True).alias("other"), "node", "component")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    return (
+        one.union(two)
+        .join(sigs, "node")
+        .join(texts, "node")
+        .select("leader", "bi", "bj", "other", "node", "component", "sig", "text")
+        .repartition("leader", "bi", "bj")
+        .sortWithinPartitions("leader", "bi", "bj", "other")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6
 ) -> DataFrame:
@@ -184,26 +264,11 @@ def near_duplicates(
     band = lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * rows) + 1, F.lit(2 * rows)))
     banded = sigs.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
     heads = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    shared = cut(banded.join(heads, "key"))
+    first = cut(banded.join(heads, "key").where("leader <> node").select("leader", "node").distinct())
 
     limits = least_matches(n, BATCH, num / den, miss)
-    first = shared.where("leader <> node").select("leader", "node").distinct()
     links = cut(_links(first, sigs, docs, width, num, den, limits))
-
-    labels = connected_components(links)
-    placed = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = by.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = cut(placed.join(split.select("key", "largest"), "key"))
-    rest = (
-        split.where("component <> largest")
-        .select("key", F.col("node").alias("leader"), F.col("component").alias("own"))
-        .join(split.select("key", "node", "component", "largest"), "key")
-        .where("component <> own and (component = largest or leader < node)")
-        .select("leader", "node")
-        .distinct()
-    )
-    more = cut(_links(rest, sigs, docs, width, num, den, limits))
+    more = _rest(first, connected_components(links), sigs, docs).mapInArrow(_blocks(width, num, den, limits), "a long, b long")
 
     joined = connected_components(links.union(more).union(same))
     return (
