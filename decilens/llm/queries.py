@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from decilens.llm import chat, langid, minhash_dedup, packing, pieces, quality, secrets, shard, syncmers, toxicity
 from decilens.llm._io import table
+from decilens.llm.oracles import ORACLES
+
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -111,6 +115,3 @@ QUERIES = {
         op10_closed_syncmers,
     )
 }
-
-#: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
