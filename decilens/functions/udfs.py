@@ -56,7 +56,11 @@ def recursive_chunks(size: int = 1000, overlap: int = 100):
     return chunks
 
 
-@F.pandas_udf("string")
-def folded(text: pd.Series) -> pd.Series:
+def folding():
     """NFKC, single spaces, case folded."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+    @F.pandas_udf("string")
+    def folded(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+    return folded

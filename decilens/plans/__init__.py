@@ -3,6 +3,7 @@
 
 def all_queries():
     """All queries of the library and their oracles."""
-    from decilens.plans import queries
+    from decilens.plans import more, queries
 
+    assert more
     return queries.QUERIES, queries.ORACLES

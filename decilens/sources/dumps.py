@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decilens import schemas
@@ -27,7 +27,7 @@ def pageview_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("id is not null").groupBy("id").agg(F.sum("views").alias("views"))
 
 
-def dump_period(path: F.Column | None = None):
+def dump_period(path: Column | None = None) -> Column:
     """The YYYYMM in a dump's file name."""
     return F.regexp_extract(path if path is not None else F.col("_metadata.file_name"), r"pageviews-(\d{6})-", 1)
 

@@ -16,7 +16,7 @@ def daily_counts(events: DataFrame) -> DataFrame:
 
 def daily_counts_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """The same counts over a stream: day windows, closed ``lateness`` after the newest event."""
-    days = events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "user_id")
+    days = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "user_id")
     return days.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.to_date("w.start").alias("day"), "user_id", "n", "total")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from decilens import schemas
 from decilens.functions import stats
 from decilens.functions import text as X
-from decilens.functions.udfs import folded, recursive_chunks, recursive_split
+from decilens.functions.udfs import folding, recursive_chunks, recursive_split
 from decilens.operators import deciles
 from decilens.operators.bm25 import Config
 
@@ -60,7 +60,7 @@ def test_recursive_chunks_hold_all_words_within_size(text, size):
 
 def test_folding(spark):
     df = spark.createDataFrame([("ﬁne  Straße\n",), (None,)], "t string")
-    assert [r.y for r in df.select(folded("t").alias("y")).collect()] == ["fine strasse", None]
+    assert [r.y for r in df.select(folding()("t").alias("y")).collect()] == ["fine strasse", None]
 
 
 @pytest.mark.parametrize(
