@@ -31,4 +31,38 @@ select conv_id, p as "position", n::bigint n_turns, '<|' || coalesce(role, 'unkn
 from t join kept using (conv_id)
 """
 
-ORACLES = {"op1_minhash_dedup": _NEAR, "op5_snapshot_collapse": _CHAT}
+_QUALITY = r"""
+with w as (
+  select doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) l from documents),
+grams as (
+  select doc_id, i, array_to_string(w[i:i+4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from w where len(w) >= 5)),
+again as (select doc_id, g from grams group by all having count(*) > 1),
+covered as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 5)) p from grams join again using (doc_id, g)) group by doc_id),
+base as (
+  select w.doc_id, lang, source, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, (len(l) - len(list_distinct(l)))::bigint n_dup_lines,
+    coalesce(c.n, 0)::bigint n_repeat_words, len(l)::bigint n_lines
+  from w left join covered c using (doc_id)),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from base),
+each_ as (
+  select doc_id, lang, source, base_failed,
+    unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) metric,
+    unnest([case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end, case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end,
+            case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end, case when n_words > 0 then word_chars * 100 // n_words else 0 end]) v from judged),
+bucketed as (select *, (v >> greatest(length(bin(v)) - 6, 0)::bigint) << greatest(length(bin(v)) - 6, 0)::bigint b from each_),
+passing as (select lang, source, metric, b from bucketed where not base_failed),
+own as (select lang, source, metric, count(*) n, quantile_disc(b, 0.25) q1, quantile_disc(b, 0.75) q3 from passing group by all),
+by_lang as (select lang, metric, count(*) n, quantile_disc(b, 0.25) q1, quantile_disc(b, 0.75) q3 from passing group by all),
+by_all as (select metric, quantile_disc(b, 0.25) q1, quantile_disc(b, 0.75) q3 from passing group by all),
+picked as (
+  select o.lang, o.source, o.metric, case when o.n >= 100 then o.q1 when l.n >= 100 then l.q1 else a.q1 end q1, case when o.n >= 100 then o.q3 when l.n >= 100 then l.q3 else a.q3 end q3
+  from own o join by_lang l on l.metric = o.metric and l.lang is not distinct from o.lang join by_all a on a.metric = o.metric),
+room as (select *, 3 * greatest(q3 - q1, case metric when 'symbols' then 20 when 'dup_lines' then 120 when 'repeats' then 65 else 60 end) room from picked),
+verdict as (
+  select e.doc_id, bool_and(coalesce(e.b between r.q1 - r.room and r.q3 + r.room, false)) ok from bucketed e
+  left join room r on r.metric = e.metric and r.lang is not distinct from e.lang and r.source is not distinct from e.source group by e.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok kept from judged join verdict using (doc_id)
+"""
+
+ORACLES = {"op1_minhash_dedup": _NEAR, "op3_adaptive_quality": _QUALITY, "op5_snapshot_collapse": _CHAT}
