@@ -98,4 +98,4 @@ def sql(body: str, *names: str, **extra: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} as ({CTES[n][1]})" for n in order] + [f"{n} as ({s})" for n, s in extra.items()]
-    return ("with " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("with recursive " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -401,19 +401,24 @@ for _m in dense.METRICS:
     query("select * from k", d="score", vq=_VQ, vc=_VC, k=_knn_sql(_m))(_knn)
 
 
-@query(
-    """select question_id, (rn - 1)::int doc_rank, wikipedia_id, score from (select *, row_number() over (partition by question_id order by round(score, 9), wikipedia_id) rn from
-       (select question_id, wikipedia_id, """ + _SIM["l2"] + """ score from near join vq using (question_id) join vc using (cell))) where rn <= 10""",
-    d="score", vq=_VQ, vc=_VC,
+_PROBED = (
+    "select question_id, (rn - 1)::int doc_rank, wikipedia_id, score from (select *, row_number() over (partition by question_id order by round(score, 9), wikipedia_id) rn from (select question_id, wikipedia_id, "
+    + _SIM["l2"] + " score from near join vq using (question_id) join vc using (cell))) where rn <= 10"
+)
+_CELLS = dict(
+    vq=_VQ, vc=_VC,
     cells="select cell, list(x order by i) c from (select cell, i, avg(x) x from (select cell, unnest(v) x, generate_subscripts(v, 1) i from vc) group by all) group by cell",
     near="select question_id, cell from (select question_id, cell, row_number() over (partition by question_id order by round(d, 9), cell) rn from (select question_id, cell, list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - c[i]) * (q[i] - c[i]))) d from vq, cells)) where rn <= 3",
 )
+
+
+@query(_PROBED, d="score", **_CELLS)
 def ivf_probe_topk(spark, sf_dir):
     q, c = _vec(spark, sf_dir)
     return dense.probe(q, c, dense.centroids(c), 3)
 
 
-@query()
+@query("select k.question_id, count(p.wikipedia_id) / count(*)::double recall from k left join p using (question_id, wikipedia_id) group by k.question_id", d="recall", **_CELLS, k=_knn_sql("l2"), p=_PROBED)
 def ivf_probe_recall(spark, sf_dir):
     q, c = _vec(spark, sf_dir)
     both = dense.search(q, c, 10).select("question_id", "wikipedia_id").join(dense.probe(q, c, dense.centroids(c), 3).select("question_id", "wikipedia_id", F.lit(1).alias("hit")), ["question_id", "wikipedia_id"], "left")
@@ -664,7 +669,14 @@ def balance_cap(spark, sf_dir):
     return cohort.cap(qdec(spark, sf_dir), 12).select("question_id", "decile", "dataset")
 
 
-@query()
+@query(
+    f"select question_id, decile, dataset from (select q.*, r.take, row_number() over (partition by q.decile, q.dataset order by {_DRAW}) rn from qdec q join rec r using (decile, dataset)) where rn <= take",
+    "qdec",
+    o="""select *, row_number() over (partition by decile order by avail, dataset) - 1 ord, count(*) over (partition by decile) n from
+         (select d.decile, s.dataset, coalesce(c.avail, 0) avail from (select distinct decile from qdec) d cross join (select distinct dataset from qdec) s left join (select decile, dataset, count(*) avail from qdec group by all) c on c.decile = d.decile and c.dataset = s.dataset)""",
+    rec="""select decile, dataset, ord, least(avail, 12 // n) take, 12 - least(avail, 12 // n) rest from o where ord = 0
+           union all select o.decile, o.dataset, o.ord, least(o.avail, r.rest // (o.n - o.ord)), r.rest - least(o.avail, r.rest // (o.n - o.ord)) from rec r join o on o.decile = r.decile and o.ord = r.ord + 1""",
+)
 def balance_fill(spark, sf_dir):
     return cohort.balance_fill(qdec(spark, sf_dir), 12).select("question_id", "decile", "dataset")
 
