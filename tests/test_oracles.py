@@ -10,9 +10,9 @@ from decilens.plans import all_queries
 
 QUERIES, ORACLES = all_queries()
 QUICK = (
-    "pageviews_by_page popularity_avg_rank decile_boundaries_chunk_weighted decile_assignment yoy_delta monthly_avg decile_transition fixed_chunks "
-    "bm25l_topk score_competition query_competition knn_cosine_topk ivf_probe_topk rrf_weighted strict_route answer_rank disagreement accuracy_rollup "
-    "hit_miss_lift balance_cap deficit tfidf_by_decile lexical_factors binned_curve latency_merge prompt_build dedup_md5"
+    "pageviews_by_page popularity_avg_rank decile_boundaries_chunk_weighted decile_assignment yoy_delta decile_transition fixed_chunks calendar_months "
+    "bm25l_topk score_competition knn_cosine_topk ivf_probe_recall rrf_weighted disagreement accuracy_rollup balance_fill balance_cap "
+    "tfidf_by_decile lexical_factors binned_curve latency_merge dedup_md5 wilcoxon"
 ).split()
 
 
