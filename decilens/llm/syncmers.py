@@ -4,8 +4,8 @@ A text is a sequence of stretches: its white-space separated words, words longer
 characters in pieces of eight. A run of ``K`` stretches is a closed syncmer if the least
 hash among its inner runs of ``S`` stretches stands at its first or last place. Whether a run
 is chosen depends on the run alone, so equal passages choose equal anchors wherever they
-stand. A fingerprint keeps the ``SIZE`` least anchor hashes; two fingerprints estimate the
-share of common anchors.
+stand. A fingerprint has every anchor with the place of its first stretch, in order of place,
+so that passages can be matched by position; two fingerprints give the share of common anchors.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STRETCH = r"\S{1,8}"
-K, S, SIZE = 4, 2, 128
+K, S = 4, 2
 #: Rows of a range of doc_ids, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 500, 100_000
 
 
 def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """``docs`` with ``out``: the sorted least anchor hashes of a text, 32 bits each.
+    """``docs`` with ``out``: every anchor of a text in order of place, as a long with the place
+    of its first stretch (from 0) in the upper and its hash in the lower 32 bits.
 
     A text with fewer than ``2 * K`` stretches has each of them as an anchor besides its
     syncmers; one without any has none. Null counts as empty.
@@ -34,25 +35,30 @@ def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
     inside = ", ".join(f"__g[i + {j}]" for j in range(1, span))
     closed = f"__g[i] <= least({inside}, __g[i + {span}]) or __g[i + {span}] <= least({inside}, __g[i])"
     covering = ", ".join(f"__g[i + {j}]" for j in sorted({*range(0, span, S), span}))
-    chosen = f"transform(filter(sequence(0, size(__g) - {span + 1}), i -> {closed}), i -> cast(shiftright(xxhash64({covering}), 32) as int))"
-    none = "cast(array() as array<int>)"
-    single = "transform(__w, w -> cast(shiftright(w, 32) as int))"
-    docs = docs.withColumn("__a", F.expr(f"concat(if(size(__w) < {2 * K}, {single}, {none}), if(__g is null, {none}, {chosen}))"))
-    return docs.withColumn(out, F.slice(F.sort_array(F.array_distinct("__a")), 1, SIZE)).drop("__w", "__g", "__a")
+    chosen = f"transform(filter(sequence(0, size(__g) - {span + 1}), i -> {closed}), i -> shiftleft(cast(i as bigint), 32) | shiftrightunsigned(xxhash64({covering}), 32))"
+    none = "cast(array() as array<bigint>)"
+    single = "transform(__w, (w, i) -> shiftleft(cast(i as bigint), 32) | shiftrightunsigned(w, 32))"
+    found = f"if(__g is null, {none}, {chosen})"
+    return docs.withColumn(out, F.expr(f"if(size(__w) < {2 * K}, sort_array(concat({single}, {found})), {found})")).drop("__w", "__g")
+
+
+def hashes(a: str) -> Column:
+    """The distinct anchor hashes of a fingerprint."""
+    return F.expr(f"array_distinct(transform({a}, x -> x & 4294967295L))")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of common anchors, from the least ``SIZE`` anchors of both texts together.
+    """The share of common hashes among all of two sets of anchor hashes.
 
     Two texts without anchors are alike (1); one with and one without are not (0).
     """
-    both = f"slice(sort_array(array_union({a}, {b})), 1, {SIZE})"
-    return F.expr(f"if(size({a}) + size({b}) = 0, 1D, size(array_intersect(array_intersect({both}, {a}), {b})) / cast(greatest(least({SIZE}, size(array_union({a}, {b}))), 1) as double))")
+    common = f"size(array_intersect({a}, {b}))"
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1D, {common} / cast(greatest(size({a}) + size({b}) - {common}, 1) as double))")
 
 
 def written(a: str) -> Column:
-    """A fingerprint as a string: eight hex digits for each anchor."""
-    return F.expr(f"array_join(transform({a}, x -> lpad(hex(cast(x as bigint) & 4294967295L), 8, '0')), '')")
+    """A fingerprint as a string: sixteen hex digits for each anchor, eight of its place and eight of its hash."""
+    return F.expr(f"array_join(transform({a}, x -> lpad(hex(x), 16, '0')), '')")
 
 
 def _range(bounds: list[int]) -> Column:
@@ -102,12 +108,12 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     of their text. Null texts count as empty. Other columns are ignored.
     """
     docs = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = anchors(ranged(docs, "text"), "text", "fp")
+    rows = anchors(ranged(docs, "text"), "text", "fp").withColumn("__set", hashes("fp"))
     w = W.partitionBy("__range").orderBy("__guest", "__id", "__h")
-    rows = rows.withColumns({"__next": F.lead("text").over(w), "__next_fp": F.lead("fp").over(w)}).where("not __guest")
+    rows = rows.withColumns({"__next": F.lead("text").over(w), "__next_set": F.lead("__set").over(w)}).where("not __guest")
     rows = rows.withColumn("__n", F.length("text"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, __n - __n div 4), substring(__next, 1, cast(__n div 4 as int)))"))
-    rows = anchors(rows, "edited", "edited_fp")
+    rows = anchors(rows, "edited", "edited_fp").withColumn("__edited_set", hashes("edited_fp"))
     return rows.select(
-        "doc_id", "text", "edited", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "__next_fp").alias("near_next")
+        "doc_id", "text", "edited", "fp", "edited_fp", likeness("__set", "__edited_set").alias("near_edited"), likeness("__set", "__next_set").alias("near_next")
     )

@@ -299,6 +299,43 @@ def test_syncmers(spark, docs, small, empty):
     assert alone.edited == "a b c a" and alone.near_next == 1
 
 
+def test_syncmers_keep_every_anchor_and_its_place(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 12)))
+    passage = [word() for _ in range(100)]
+    texts = [[word() for _ in range(3000)], [word() for _ in range(3000)], [word() for _ in range(5)], []]
+    texts[0][700:700], texts[1][2100:2100] = passage, passage
+    texts = [" ".join(t) for t in texts]
+    out = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def hashed(rows):
+        cols = [f"c{i}" for i in range(len(rows[0]))]
+        typed = ", ".join(f"{c} {'string' if isinstance(rows[0][0], str) else 'long'}" for c in cols)
+        return dict(spark.createDataFrame(rows, typed).select(F.array(*cols), F.xxhash64(*cols)).rdd.map(lambda r: (tuple(r[0]), r[1])).collect())
+
+    words = [[w[i : i + 8] for w in t.split() for i in range(0, len(w), 8)] for t in texts]
+    one = hashed(sorted({(w,) for t in words for w in t}))
+    single = [[one[w,] for w in t] for t in words]
+    two = hashed(sorted({p for t in single for p in zip(t, t[1:])}))
+    pairs = [[two[p] for p in zip(t, t[1:])] for t in single]
+    runs = hashed(sorted({p for t in pairs for p in zip(t, t[2:])}))
+    want = []
+    for t, g in zip(single, pairs, strict=True):
+        found = [(i, runs[g[i], g[i + 2]]) for i in range(len(g) - 2) if min(g[i], g[i + 2]) <= min(g[i : i + 3])]
+        want.append(sorted((i, h >> 32 & 0xFFFFFFFF) for i, h in found + (list(enumerate(t)) if len(t) < 8 else [])))
+    got = [[(x >> 32, x & 0xFFFFFFFF) for x in out[i].fp] for i in range(4)]
+    assert got == want and len(got[0]) > 1000 and len(got[2]) >= 5 and got[3] == []
+
+    sets = [{h for _, h in g} for g in got]
+    for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)):
+        assert out[i].near_next == len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    edited = {x & 0xFFFFFFFF for x in out[0].edited_fp}
+    assert out[0].near_edited == len(sets[0] & edited) / len(sets[0] | edited)
+    first = [len([p for w in t.split()[:n] for p in range(0, len(w), 8)]) for t, n in ((texts[0], 700), (texts[1], 2100))]
+    places = [{(i - f, h) for i, h in g} for g, f in zip(got[:2], first, strict=True)]
+    assert len(places[0] & places[1]) > 40
+
+
 def test_ranges_find_the_next_document_everywhere(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 7)
     ids = random.Random(2).sample(range(10**6), 200)
