@@ -280,6 +280,22 @@ def near_duplicates(
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents with ``kept``: one of each group, all columns as they were."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of near-duplicates, with all columns as they were: the row with the
+    least doc_id, rows without one last.
+
+    Rows are linked by their texts alone, whether they have a doc_id or not, and rows with the
+    same doc_id and text are copies. A text without words is in no group: of its rows, only
+    copies with a doc_id go.
+    """
+    word = F.col("text").cast("string")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", word.isNull(), word))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), **options)
+    nodes = found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("component"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n"))
+    ids = keyed.select("__key", F.col("doc_id").cast("long").alias("id")).distinct()
+    nodes = cut(nodes.join(ids, "__key"))
+    best = nodes.groupBy("component").agg(F.min_by("__key", F.struct(F.col("id").isNull(), "id", "__key")).alias("__key"))
+    gone = nodes.join(best, "__key", "left_anti").select("__key")
+    copied = nodes.join(best, "__key", "left_semi").where("n > 1 and (n_shingles > 0 or id is not null)").select("__key")
+    single = keyed.join(gone.union(copied), "__key", "left_anti").select(*docs.columns)
+    one = keyed.join(copied, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return single.union(one.select("__row.*"))

@@ -98,6 +98,17 @@ def test_near_duplicates_in_a_group_of_edited_copies(spark):
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_one_row_of_each_group_stays(spark):
+    other = " ".join(f"other{i}" for i in range(60))
+    lone = " ".join(f"lone{i}" for i in range(60))
+    rows = [(7, BASE), (7, BASE), (9, BASE + " tail"), (None, BASE), (None, other), (None, other), (None, other + " tail"), (3, lone), (3, lone), (4, ""), (4, ""), (5, ""), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in minhash_dedup.keep_representatives(df).collect())
+    assert got[7, BASE] == 1 and sum(n for (_, t), n in got.items() if t and t.startswith("term")) == 1
+    assert sum(n for (_, t), n in got.items() if t and t.startswith("other")) == 1
+    assert got[3, lone] == 1 and got[4, ""] == got[5, ""] == 1 and got[None, None] == 2 and sum(got.values()) == 7
+
+
 def test_posterior_limits_rise_with_the_batch():
     limits = minhash_dedup.least_matches(215, 43, 0.75, 1e-6)
     assert [k for k, _ in limits] == [43, 86, 129, 172, 215]
