@@ -24,9 +24,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one known language is the larger part; an unknown ``lang`` is filled in."""
-    found = langid.identify(docs, queries.language_model(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.4)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents as likely as texts of a known language that holds at least 0.4 of them; an
+    unknown ``lang`` is filled in."""
+    found = langid.identify(docs, queries.language_model(docs), fit=True)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.4) & F.col("fits")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,10 +55,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """``langs`` and the log-probability of each bucket in each language."""
+    """``langs``, the log-probability of each bucket in each language, and the mean and standard
+    deviation of it over the trigrams each language was counted on."""
 
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = langs, logs
+    def __init__(self, langs: list[str], logs: np.ndarray, mean: np.ndarray, spread: np.ndarray):
+        self.langs, self.logs, self.mean, self.spread = langs, logs, mean, spread
 
 
 def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
@@ -69,7 +70,12 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
     langs = sorted(rows["lang"].unique())
     table = np.full((BUCKETS, len(langs)), smoothing)
     table[rows["bucket"].to_numpy(np.int64), rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] += rows["n"].to_numpy()
-    return Model(langs, np.log(table / table.sum(0)).astype(np.float32) if langs else np.zeros((BUCKETS, 0), np.float32))
+    if not langs:
+        return Model(langs, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(0))
+    logs, seen = np.log(table / table.sum(0)), table - smoothing
+    seen /= np.maximum(seen.sum(0), 1)
+    mean = (seen * logs).sum(0)
+    return Model(langs, logs.astype(np.float32), mean, np.sqrt((seen * (logs - mean) ** 2).sum(0)))
 
 
 def _em(lik: np.ndarray, doc: np.ndarray, first: np.ndarray, mix: np.ndarray, rounds: int) -> np.ndarray:
@@ -121,6 +127,23 @@ def infer(part: Slice, model: Model, rounds: int, penalty: float) -> tuple[np.nd
     return out, has
 
 
+def fits(part: Slice, model: Model, lang: np.ndarray) -> np.ndarray:
+    """Whether each text is as likely as texts of its language ``lang`` (a column of the model).
+
+    Every word counts by its likeliest language. The average log-probability of a text's
+    trigrams may lie one standard deviation of the language's own trigrams below their mean,
+    and as far again as the mean of so few trigrams strays (four standard errors).
+    """
+    code, at, first = trigrams(part)
+    if not len(at) or not model.langs:
+        return np.zeros(part.n, bool)
+    words = np.add.reduceat(model.logs[code], at, axis=0).max(1)
+    upto, places = np.concatenate(([0.0], np.cumsum(words, dtype=np.float64))), np.append(at, len(code))
+    n = places[first[1:]] - places[first[:-1]]
+    least = model.mean[lang] - model.spread[lang] * (1 + 4 / np.sqrt(np.maximum(n, 1)))
+    return (n > 0) & (upto[first[1:]] - upto[first[:-1]] >= n * least)
+
+
 def _lettered(part: Slice) -> np.ndarray:
     """Whether each text has a letter: an ASCII one, or any by Unicode."""
     plain = np.concatenate(([0], np.cumsum(LETTER[part.buf] & (part.buf < 128))))
@@ -131,23 +154,26 @@ def _lettered(part: Slice) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8, penalty: float = 2.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8, penalty: float = 2.0, fit: bool = False) -> DataFrame:
     """``docs`` with lang_pred, score (its proportion) and lang_set (all languages of the text,
     largest share first, as ``name:share``).
 
     A text that is null or has no letter, or any text where the model knows no language, is
     ``und`` with score 0. Ties go to the name that sorts first. Columns named like the new ones
-    are replaced.
+    are replaced. With ``fit`` there is also a column ``fits``: whether the text is as likely as
+    texts of lang_pred.
     """
-    docs = without(docs, "lang_pred", "score", "lang_set")
+    docs = without(docs, "lang_pred", "score", "lang_set", *(["fits"] if fit else []))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, sets = [], [], []
+            pred, score, sets, good = [], [], [], []
             for part in slices(filled(batch.column(at))):
                 shares, has = infer(part, model, rounds, penalty)
                 ok = _lettered(part) & has & (len(model.langs) > 0)
+                if fit:
+                    good.extend((fits(part, model, np.argmax(shares, axis=1)) & ok).tolist() if model.langs else [False] * part.n)
                 for i in range(part.n):
                     order = np.argsort(-shares[i], kind="stable")
                     found = [(model.langs[j], float(shares[i, j])) for j in order if shares[i, j] > 0] if ok[i] else []
@@ -155,6 +181,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8,
                     score.append(min(1.0, found[0][1]) if found else 0.0)
                     sets.append(",".join(f"{x}:{v:.4f}" for x, v in found))
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "lang_set"])
+            names = ["lang_pred", "score", "lang_set"]
+            if fit:
+                new, names = [*new, pa.array(good, pa.bool_())], [*names, "fits"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, plus(docs.schema, lang_pred="string", score="double", lang_set="string"))
+    return docs.mapInArrow(run, plus(docs.schema, lang_pred="string", score="double", lang_set="string", **({"fits": "boolean"} if fit else {})))

@@ -201,6 +201,16 @@ def test_language_held_out_mixture_and_edges(spark, docs, small, empty):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_stage_rejects_a_language_not_learned(spark, small):
+    import corpus_pipeline
+
+    docs = small.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang"))).cache()
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    unknown = {r.doc_id for r in docs.where("lang is null and n_chars > 300").collect()}
+    known = {r.doc_id for r in docs.where("lang is not null").collect()}
+    assert len(unknown) > 20 and len(unknown & kept) <= 0.02 * len(unknown) and len(known & kept) >= 0.99 * len(known)
+
+
 def test_chat_keeps_maximal_conversations(spark):
     turns = [(c, i, "user" if i % 2 else "bot", t) for c, ts in {1: "ab", 2: "abc", 3: "abc", 4: "b", 5: "abd", 6: ["x", None]}.items() for i, t in enumerate(ts)]
     df = spark.createDataFrame([*turns, (None, 0, "user", "z")], "conv_id long, turn long, role string, text string")
