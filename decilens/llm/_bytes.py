@@ -1,13 +1,14 @@
 """Vectorised work on the UTF-8 bytes of an Arrow string column.
 
 Texts are handled in slices of about a megabyte, so that memory does not depend on how
-many rows a batch has; one text longer than that is a slice of its own. A range of bytes
-is hashed from prefix sums of a polynomial over 64-bit words, so hashing every word of a
-slice costs a few array operations and no Python call per word.
+many rows a batch has; one text longer than that is a slice of its own. All ranges of a
+slice (its words, say) are hashed at once, eight bytes a step, so a step is a few array
+operations and there is no Python call per word; long ranges go to BLAKE2 one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,9 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: One random 64-bit value for each byte value, the same in every process.
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_powers = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
+#: Ranges up to so many bytes are hashed and compared together.
+STEPS = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -28,20 +29,6 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the base, or of its inverse, modulo 2**64."""
-    have = _powers[inverse]
-    if len(have) < n:
-        base, k = pow(int(_BASE), -1 if inverse else 1, 2**64), 1
-        have = np.ones(max(n, SLICE_BYTES + 2), np.uint64)
-        while k < len(have):
-            step = min(k, len(have) - k)
-            have[k : k + step] = have[:step] * np.uint64(pow(base, k, 2**64))
-            k += step
-        _powers[inverse] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all bits."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
@@ -73,15 +60,61 @@ class Slice:
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         return start, end, np.searchsorted(start, self.off)
 
-    def prefix(self, fold: np.ndarray | None = None) -> np.ndarray:
-        """Prefix sums from which ``hashed`` takes the hash of any range of bytes."""
-        n = len(self.buf)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE if fold is None else _BYTE[fold])[self.buf] * powers(n)[:n], out=out[1:])
-        return out
-
-    def hashed(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * powers(len(self.buf) + 1, True)[start] + (end - start).astype(np.uint64))
+    def data(self, fold: np.ndarray | None = None) -> np.ndarray:
+        """The bytes, each replaced by ``fold[byte]``, as ``hashed`` and ``same`` take them."""
+        return padded(self.buf if fold is None else fold[self.buf])
+
+
+def padded(buf: np.ndarray) -> np.ndarray:
+    """Eight more bytes behind ``buf``, so that a word can be read at each of its places."""
+    return np.concatenate((buf, np.zeros(8, np.uint8)))
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit word that begins at each byte."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ranges of ``data``; other seeds give independent hashes.
+
+    Each step mixes the next eight bytes into the hash so far by a bijection, so ranges of
+    one length up to eight bytes never share a hash.
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) + _BASE + np.uint64(seed << 32))
+    words = _words(data)
+    left = np.flatnonzero(size > 0)
+    long = left[size[left] > STEPS]
+    if len(long):
+        left, raw = left[size[left] <= STEPS], memoryview(data)
+        key = bytes([seed])
+        h[long] = np.frombuffer(
+            b"".join([hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]), np.uint64
+        )
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        h[left] = mix(h[left] ^ (words[start[left] + at] & _MASK[np.minimum(rest, 8)]))
+        left, at = left[rest > 8], at + 8
+    return h
+
+
+def same(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each range of ``data`` has the bytes of the range of ``other`` beside it."""
+    size = end - start
+    out = size == last - first
+    one, two = _words(data), _words(other)
+    left = np.flatnonzero(out & (size > 0))
+    for i in left[size[left] > STEPS].tolist():
+        out[i] = np.array_equal(data[start[i] : end[i]], other[first[i] : last[i]])
+    left, at = left[size[left] <= STEPS], 0
+    while len(left):
+        rest = size[left] - at
+        equal = ((one[start[left] + at] ^ two[first[left] + at]) & _MASK[np.minimum(rest, 8)]) == 0
+        out[left[~equal]] = False
+        left, at = left[equal & (rest > 8)], at + 8
+    return out
 
 
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:

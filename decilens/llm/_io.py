@@ -6,7 +6,8 @@ import tempfile
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -16,16 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. A folder of this machine stands in for it only
+    where the whole session runs on this machine, as in tests."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+        folder = tempfile.mkdtemp(prefix="decilens-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made only where the
-    setting is absent, as in local tests.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="decilens-ckpt-"))
+    shared_folder(spark)
     # The rows are in the shared folder then, so the shuffle files behind them may go at once.
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -35,6 +43,28 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+#: There are at most so many hot keys, so they may be broadcast; fewer rows than LEAST_HOT are never hot.
+HOT_KEYS, LEAST_HOT = 10_000, 512
+
+
+def hot_keys(counts: DataFrame, total: int) -> DataFrame:
+    """Of ``counts(key..., n)`` the keys with more than one row in HOT_KEYS of all ``total``
+    rows, with the number of ``parts`` to deal each to; at most HOT_KEYS rows."""
+    most = max(LEAST_HOT, total // HOT_KEYS)
+    keys = [c for c in counts.columns if c != "n"]
+    return counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("long").alias("parts"))
+
+
+def spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: str | Column) -> DataFrame:
+    """Inner join of ``left``, which may have many rows of one key, with ``right``: rows of hot
+    keys are dealt to parts by a hash of ``by``, and each part gets its copy of the right row."""
+    hot = F.broadcast(hot)
+    one = left.join(hot, keys, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), "parts"), F.lit(0))).drop("parts")
+    last = F.coalesce(F.col("parts"), F.lit(1).cast("long")) - 1
+    two = right.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+    return one.join(two, [*keys, "__part"]).drop("__part")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names an operator is about to add (case-insensitive)."""
     taken = {n.lower() for n in names}

@@ -6,12 +6,16 @@
 3. Star round: in each bucket the least node, its leader, is compared with the others.
    Rest round: the nodes that share buckets of one leader are its cluster. In each cluster
    that verified links have not yet joined into one component, the nodes outside its largest
-   component are compared with all others, block against block inside a task. After it, two
+   component are compared with all others, block against block inside a task: signatures
+   first, then the texts of the nodes that are left. After it, two
    nodes of one bucket have been compared or are connected: no pairs of a group are written
    out, and no bucket is capped.
 4. A comparison reads the two signatures batch by batch and stops as soon as the posterior
    probability that the similarity reaches the threshold falls below ``miss``.
-5. Survivors are decided on their full shingle sets, so false links cannot occur.
+5. Survivors are decided on their full shingle sets, taken twice with independent 64-bit
+   hashes: a link needs both to reach the threshold.
+
+Joins on a leader, a bucket or a set deal hot keys to several tasks.
 
 A pair at the threshold shares no band with probability (1 - t**rows)**bands, 1e-5 by
 default, and is pruned by a batch with a probability below ``miss``.
@@ -27,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decilens.llm._io import cut, filled
+from decilens.llm._io import cut, filled, hot_keys, spread
 from decilens.llm.components import connected_components
 from decilens.llm.shingles import shingle_sets
 
 BANDS, ROWS, BATCH = 43, 5, 43
-#: Nodes compared with one leader in one task, and nodes of each side of a block.
-MEMBERS = BLOCK = 512
+#: Nodes of each side of a block.
+BLOCK = 512
 
 
 @lru_cache(1)
@@ -79,10 +83,11 @@ def _sketches(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, a, b, sig = [], [], [], []
-            for s in shingle_sets(filled(batch.column(1)), width):
+            text = filled(batch.column(1))
+            for s, t in zip(shingle_sets(text, width), shingle_sets(text, width, 1), strict=True):
                 size.append(len(s))
                 a.append(int(s.sum(dtype=np.uint64)) - 2**63 if len(s) else None)
-                b.append(int(np.bitwise_xor.reduce(s * (s | np.uint64(1)))) - 2**63 if len(s) else None)
+                b.append(int(np.bitwise_xor.reduce(t * (t | np.uint64(1)))) - 2**63 if len(s) else None)
                 sig.append(signature(s, n).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())],
@@ -108,6 +113,22 @@ def _prune(limits: list[tuple[int, int]]):
     return run
 
 
+def _alike(one: tuple, two: tuple, num: int, den: int) -> bool:
+    """Whether two texts, each with its sets by two independent hashes, are similar by both."""
+    for s, t in zip(one, two, strict=True):
+        small, large = sorted((len(s), len(t)))
+        if not small or den * small < num * large:
+            return False
+        both = small + large - len(np.union1d(s, t))
+        if den * both < num * (small + large - both):
+            return False
+    return True
+
+
+def _twice(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return zip(shingle_sets(column, width), shingle_sets(column, width, 1), strict=True)
+
+
 def _verify(width: int, num: int, den: int):
     """Rows (leader, part, node, text), a leader's own rows before its members'."""
 
@@ -115,26 +136,74 @@ def _verify(width: int, num: int, den: int):
         key, own = None, []
         for batch in batches:
             a, b = [], []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(filled(batch.column(3)), width), strict=True)
-            for leader, part, node, s in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _twice(filled(batch.column(3)), width), strict=True)
+            for leader, part, node, sets in rows:
                 if (leader, part) != key:
                     key, own = (leader, part), []
                 if node == leader:
-                    own.append(s)
-                    continue
-                for t in own:
-                    small, large = sorted((len(s), len(t)))
-                    if small and den * small >= num * large:
-                        both = small + large - len(np.union1d(s, t))
-                        if den * both >= num * (small + large - both):
-                            a.append(node)
-                            b.append(leader)
-                            break
+                    own.append(sets)
+                elif any(_alike(sets, t, num, den) for t in own):
+                    a.append(node)
+                    b.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, extra=None) -> Iterator[tuple[tuple, list]]:
+    """Rows that agree on their first ``keys`` columns and follow each other, as (key, rows);
+    ``extra`` makes a last value of each row from a batch."""
+    key, rows = None, []
+    for batch in batches:
+        cols = [c.to_pylist() for c in (batch.columns if extra is None else batch.columns[:-1])]
+        for row in zip(*cols, *([] if extra is None else [extra(batch)]), strict=True):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def _candidates(sig: np.ndarray, others: np.ndarray, left: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """Of the rows ``left`` of ``others`` those that no batch of values rules out for ``sig``."""
+    seen, matches = 0, np.zeros(len(left), np.int32)
+    for end, least in limits:
+        matches = matches + (others[left, seen:end] == sig[seen:end]).sum(1)
+        keep = matches >= least
+        left, matches, seen = left[keep], matches[keep], end
+    return left
+
+
+def _sides(rows: list) -> tuple[list, list]:
+    """Rows (other, ...) as those to compare and those to compare them with."""
+    return [r[1:] for r in rows if not r[0]], [r[1:] for r in rows if r[0]]
+
+
+def _survivors(limits: list[tuple[int, int]]):
+    """Rows (leader, bi, bj, other, node, component, sig): the nodes of each block that some node
+    of another component in it may be similar to, by their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches, 3):
+            one, two = _sides(rows)
+            found = []
+            if one and two:
+                sigs, component = np.stack([np.frombuffer(x[2], np.uint16) for x in two]), np.array([x[1] for x in two])
+                hit = np.zeros(len(two), bool)
+                for node, own, sig in one:
+                    left = _candidates(np.frombuffer(sig, np.uint16), sigs, np.flatnonzero(component != own), limits)
+                    hit[left] = True
+                    if len(left):
+                        found.append((*key, False, node, own))
+                found += [(*key, True, *two[j][:2]) for j in np.flatnonzero(hit)]
+            kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["leader", "bi", "bj", "other", "node", "component"])
+
+    return run
+
+
 def _blocks(width: int, num: int, den: int, limits: list[tuple[int, int]]):
     """Rows (leader, bi, bj, other, node, component, sig, text): of each block the nodes to
     compare (other is false), then those to compare them with."""
@@ -147,63 +216,55 @@ def _blocks(width: int, num: int, den: int, limits: list[tuple[int, int]]):
                 root[x] = x = root[root[x]]
             return x
 
-        sa, sb = (np.stack([x[2] for x in side]) for side in (one, two))
-        size = np.array([len(x[3]) for x in two])
-        flat = np.concatenate([x[3] for x in two])
+        sigs = np.stack([np.frombuffer(x[2], np.uint16) for x in two])
+        size = np.array([len(x[3][0]) for x in two])
+        flat = np.concatenate([x[3][0] for x in two])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], np.repeat(np.arange(len(two)), size)[order]
-        for (node, component, _, s), sig in zip(one, sa, strict=True):
-            left, seen, matches = np.arange(len(two)), 0, np.zeros(len(two), np.int32)
-            for end, least in limits:
-                matches = matches + (sb[left, seen:end] == sig[seen:end]).sum(1)
-                keep = matches >= least
-                left, matches, seen = left[keep], matches[keep], end
+        for node, component, sig, sets in one:
+            left = _candidates(np.frombuffer(sig, np.uint16), sigs, np.arange(len(two)), limits)
             left = [j for j in left.tolist() if find(two[j][1]) != find(component)]
             if not left:
                 continue
+            s = sets[0]
             lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             both = np.bincount(owner[at], minlength=len(two))
             for j in left:
-                if den * both[j] >= num * (len(s) + size[j] - both[j]) and find(two[j][1]) != find(component):
+                near = den * both[j] >= num * (len(s) + size[j] - both[j])
+                if near and find(two[j][1]) != find(component) and _alike(sets, two[j][3], num, den):
                     root[find(two[j][1])] = find(component)
                     yield node, two[j][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, one, two = None, [], []
-        kind = ["a", "b"]
-
-        def flush() -> pa.RecordBatch:
+        for _, rows in _groups(batches, 3, lambda batch: _twice(filled(batch.columns[-1]), width)):
+            one, two = _sides([r for r in rows if len(r[-1][0])])
             found = list(links(one, two)) if one and two else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], kind)
-
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for *now, other, node, component, sig, s in zip(*cols, shingle_sets(filled(batch.column(7)), width), strict=True):
-                if now != key:
-                    yield flush()
-                    key, one, two = now, [], []
-                if len(s):
-                    (two if other else one).append((node, component, np.frombuffer(sig, np.uint16), s))
-        yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, num: int, den: int, limits) -> DataFrame:
+def _counts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _links(pairs: DataFrame, hot: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, num: int, den: int, limits) -> DataFrame:
     """Of candidate ``pairs(leader, node)``, those whose texts are similar, as (a, b)."""
     held = (
-        pairs.join(sigs.select(F.col("node").alias("leader"), F.col("sig").alias("s1")), "leader")
+        spread(pairs, sigs.select(F.col("node").alias("leader"), F.col("sig").alias("s1")), ["leader"], hot, "node")
         .join(sigs.select("node", F.col("sig").alias("s2")), "node")
         .select("leader", "node", "s1", "s2")
         .mapInArrow(_prune(limits), "leader long, node long")
     )
     held = cut(held)
-    parts = held.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    # Skewed leaders: AQE splits this join; members are then dealt by (leader, part).
-    members = held.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
-    owners = parts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node"))
+    counts = _counts(held, "leader")
+    parts = F.broadcast(hot_keys(counts, held.count()))
+    # A hot leader's own row goes to each of the parts its members are dealt to.
+    members = held.join(parts, "leader", "left").select("leader", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).alias("part"), "node")
+    last = F.coalesce(F.col("parts"), F.lit(1).cast("long")) - 1
+    owners = counts.join(parts, "leader", "left").select("leader", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), F.col("leader").alias("node"))
     texts = docs.select(F.col("doc_id").alias("node"), "text")
     rows = (
         members.union(owners)
@@ -215,27 +276,24 @@ def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, num:
     return rows.mapInArrow(_verify(width, num, den), "a long, b long")
 
 
-def _rest(first: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+def _rest(first: DataFrame, hot: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, limits) -> DataFrame:
     """The blocks of the clusters that fall into several components."""
     cluster = first.union(first.select("leader", F.col("leader").alias("node")).distinct())
     cluster = cluster.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component"))
-    by = cluster.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
+    by = _counts(cluster, "leader", "component")
     split = by.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
     split = split.select("leader", F.col("top.component").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("cols"))
-    cluster = cluster.join(split, "leader")
+    cluster = spread(cluster, split, ["leader"], hot, "node")
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     one = cluster.where("component <> largest").select("leader", own("rows").alias("bi"), all_of("cols").alias("bj"), F.lit(False).alias("other"), "node", "component")
     two = cluster.select("leader", all_of("rows").alias("bi"), own("cols").alias("bj"), F.lit(True).alias("other"), "node", "component")
+    keys = ["leader", "bi", "bj", "other", "node", "component"]
+    blocks = lambda rows, *last: rows.select(*keys, "sig", *last).repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj", "other")
+    kinds = "leader long, bi long, bj long, other boolean, node long, component long"
+    left = cut(blocks(one.union(two).join(sigs, "node")).mapInArrow(_survivors(limits), kinds))
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    return (
-        one.union(two)
-        .join(sigs, "node")
-        .join(texts, "node")
-        .select("leader", "bi", "bj", "other", "node", "component", "sig", "text")
-        .repartition("leader", "bi", "bj")
-        .sortWithinPartitions("leader", "bi", "bj", "other")
-    )
+    return blocks(left.join(sigs, "node").join(texts, "node"), "text")
 
 
 def near_duplicates(
@@ -256,19 +314,22 @@ def near_duplicates(
     sketches = cut(docs.mapInArrow(_sketches(width, n), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
     full = sketches.where("doc_id is not null and n_shingles > 0")
     sets = ["n_shingles", "set_a", "set_b"]
-    nodes = full.groupBy(*sets).agg(F.min("doc_id").alias("node"))
-    same = full.select("doc_id", *sets).join(nodes, sets).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes = full.groupBy(*sets).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    hot_sets = hot_keys(nodes.select(*sets, "n"), full.count())
+    same = spread(full.select("doc_id", *sets), nodes.select(*sets, "node"), sets, hot_sets, "doc_id").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     sigs = full.join(nodes.select(F.col("node").alias("doc_id"), *sets), ["doc_id", *sets], "left_semi").select(F.col("doc_id").alias("node"), "sig").distinct()
     sigs = cut(sigs)
 
     band = lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * rows) + 1, F.lit(2 * rows)))
     banded = sigs.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
-    heads = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    first = cut(banded.join(heads, "key").where("leader <> node").select("leader", "node").distinct())
+    heads = cut(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last").select("key", "leader", "n"))
+    hot_buckets = hot_keys(heads.select("key", "n"), bands * sigs.count())
+    first = cut(spread(banded, heads.select("key", "leader"), ["key"], hot_buckets, "node").where("leader <> node").select("leader", "node").distinct())
 
     limits = least_matches(n, BATCH, num / den, miss)
-    links = cut(_links(first, sigs, docs, width, num, den, limits))
-    more = _rest(first, connected_components(links), sigs, docs).mapInArrow(_blocks(width, num, den, limits), "a long, b long")
+    hot = hot_keys(_counts(first, "leader"), first.count())
+    links = cut(_links(first, hot, sigs, docs, width, num, den, limits))
+    more = _rest(first, hot, connected_components(links), sigs, docs, limits).mapInArrow(_blocks(width, num, den, limits), "a long, b long")
 
     joined = connected_components(links.union(more).union(same))
     return (

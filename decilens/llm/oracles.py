@@ -47,20 +47,26 @@ base as (
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from base),
 each_ as (
   select doc_id, lang, source, base_failed,
-    unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) metric,
+    unnest(['symbols', 'dup_lines', 'repeats', 'word_length', 'word_chars', 'n_lines', 'n_words']) metric,
     unnest([case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end, case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end,
-            case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end, case when n_words > 0 then word_chars * 100 // n_words else 0 end]) v from judged),
+            case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end, case when n_words > 0 then word_chars * 100 // n_words else 0 end,
+            word_chars, n_lines, n_words]) v from judged),
 bucketed as (select *, (v >> greatest(length(bin(v)) - 6, 0)::bigint) << greatest(length(bin(v)) - 6, 0)::bigint b from each_),
 passing as (select lang, source, metric, b from bucketed where not base_failed),
-own as (select lang, source, metric, count(*) n, quantile_disc(b, 0.25) q1, quantile_disc(b, 0.75) q3 from passing group by all),
-by_lang as (select lang, metric, count(*) n, quantile_disc(b, 0.25) q1, quantile_disc(b, 0.75) q3 from passing group by all),
-by_all as (select metric, quantile_disc(b, 0.25) q1, quantile_disc(b, 0.75) q3 from passing group by all),
+own as (select lang, source, metric, count(*) n, quantile_disc(b, [0.25, 0.5, 0.75]) q from passing group by all),
+by_lang as (select lang, metric, count(*) n, quantile_disc(b, [0.25, 0.5, 0.75]) q from passing group by all),
+by_all as (select metric, quantile_disc(b, [0.25, 0.5, 0.75]) q from passing group by all),
 picked as (
-  select o.lang, o.source, o.metric, case when o.n >= 100 then o.q1 when l.n >= 100 then l.q1 else a.q1 end q1, case when o.n >= 100 then o.q3 when l.n >= 100 then l.q3 else a.q3 end q3
+  select o.lang, o.source, o.metric, case when o.n >= 100 then o.q when l.n >= 100 then l.q else a.q end q
   from own o join by_lang l on l.metric = o.metric and l.lang is not distinct from o.lang join by_all a on a.metric = o.metric),
-room as (select *, 3 * greatest(q3 - q1, case metric when 'symbols' then 20 when 'dup_lines' then 120 when 'repeats' then 65 else 60 end) room from picked),
+one_event as (
+  select p.lang, p.source, e.metric, e.adds / greatest(p.q[2], 1)::double step from picked p
+  join (values ('symbols', 'word_chars', 1000::double), ('dup_lines', 'n_lines', 1000::double), ('repeats', 'n_words', 10000::double), ('word_length', 'n_words', 100::double)) e(metric, size, adds) on e.size = p.metric),
+room as (
+  select p.lang, p.source, p.metric, p.q[1] q1, p.q[3] q3, 3::double * greatest((p.q[3] - p.q[1])::double, e.step) room
+  from picked p join one_event e on e.metric = p.metric and e.lang is not distinct from p.lang and e.source is not distinct from p.source),
 verdict as (
-  select e.doc_id, bool_and(coalesce(e.b between r.q1 - r.room and r.q3 + r.room, false)) ok from bucketed e
+  select e.doc_id, bool_and(coalesce(e.b between r.q1 - r.room and r.q3 + r.room, false)) ok from (select * from bucketed where metric not in ('word_chars', 'n_lines', 'n_words')) e
   left join room r on r.metric = e.metric and r.lang is not distinct from e.lang and r.source is not distinct from e.source group by e.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok kept from judged join verdict using (doc_id)
 """

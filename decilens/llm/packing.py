@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decilens.llm._bytes import LOWER, Slice, slices
+from decilens.llm._bytes import LOWER, Slice, hashed, padded, same, slices
 from decilens.llm._io import cut, filled, without
 
 WINDOW = 4096
@@ -30,16 +30,46 @@ BLOCK = 500_000
 # ---------------------------------------------------------------- token ids
 
 
+#: What a tokenizer file must say for its texts to be cut: how it normalises and splits.
+RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+
+
+def follows_rules(file: dict) -> bool:
+    """Whether a tokenizer file, as parsed JSON, normalises and splits as ``RULES`` says, without
+    anything added to a text, and its model joins no units."""
+    split, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+    model = file["model"]
+    return (
+        file.get("normalizer") == RULES["normalizer"]
+        and (split.get("pattern") or {}).get("Regex") == RULES["split"]
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and [{k: r.get(k) for k in plain[0]} for r in rest] == plain
+        and not file.get("truncation")
+        and not file.get("padding")
+        and model["type"] == "BPE"
+        and not model.get("dropout")
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
+    )
+
+
 class WordEncoder:
     """Ids of a tokenizer whose units never cross certain places, by distinct unit.
 
-    The tokenizer lower-cases, drops white space, and takes letter runs, single digits and
-    runs of other characters as units, apart from contractions. So a text may be cut at ASCII
-    white space, around ASCII digits, and between ASCII letters and ASCII symbols other than
-    the apostrophe; bytes beyond ASCII are never cut from their neighbours. Each distinct
-    stretch is encoded by the library once and its ids are joined back by position. Texts in
-    which a cut could matter (special tokens, separators U+001C to U+001F) go to the library
-    whole.
+    A tokenizer that follows ``RULES`` lower-cases, drops white space, and takes letter runs,
+    single digits and runs of other characters as units, apart from contractions. So a text
+    may be cut at ASCII white space, around ASCII digits, and between ASCII letters and ASCII
+    symbols other than the apostrophe; bytes beyond ASCII are never cut from their neighbours.
+    Each distinct stretch is encoded by the library once and its ids are joined back by
+    position; a stretch is known by its bytes, not by their hash alone. Texts in which a cut
+    could matter (special tokens, separators U+001C to U+001F), and all texts of any other
+    tokenizer, go to the library whole.
     """
 
     KEEP = 1_500_000  # distinct stretches remembered; beyond it the table starts anew
@@ -48,7 +78,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t["content"].encode() for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        rules = json.loads(self.tokenizer.to_str())
+        self.separable = follows_rules(rules)
+        self.special = [t["content"].encode() for t in rules["added_tokens"]]
         kind = np.full(256, 2, np.uint8)  # symbol
         kind[[9, 10, 11, 12, 13, 32]] = 0
         kind[97:123] = kind[65:91] = 1
@@ -68,6 +100,8 @@ class WordEncoder:
         self.length = np.zeros(0, np.int64)
         self.begin = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.data = padded(np.zeros(0, np.uint8))  # the bytes of all stretches, one after another
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -86,7 +120,11 @@ class WordEncoder:
 
     def _learn(self, part: Slice, keys: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         lower = LOWER[part.buf].tobytes()
-        found = self._one([lower[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        stretches = [lower[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        found = self._one(stretches)
+        self.place = np.concatenate([self.place, len(self.data) - 8 + np.cumsum(end - start) - (end - start)])
+        self.size = np.concatenate([self.size, end - start])
+        self.data = padded(np.concatenate([self.data[:-8], np.frombuffer(b"".join(stretches), np.uint8)]))
         length = np.array([len(f) for f in found], np.int64)
         begin = len(self.ids) + np.concatenate(([0], np.cumsum(length)[:-1])) if len(length) else length
         slot = len(self.length) + np.arange(len(keys))
@@ -99,6 +137,8 @@ class WordEncoder:
         n = len(part.buf)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(part.n + 1, np.int64)
+        if not self.separable:
+            return _joined([self._whole(part.text(i)) for i in range(part.n)])
         kind = self.kind[part.buf]
         at = np.zeros(n + 1, bool)
         at[1:n] = self.cut[kind[:-1], kind[1:]]
@@ -108,7 +148,8 @@ class WordEncoder:
         end = np.append(start[1:], n)
         word = kind[start] != 0
         start, end = start[word], end[word]
-        keys = part.hashed(part.prefix(LOWER), start, end)
+        data = part.data(LOWER)
+        keys = hashed(data, start, end)
         distinct, where, code = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > self.KEEP:
             self.reset()
@@ -120,15 +161,15 @@ class WordEncoder:
             self._learn(part, distinct[new], place[new], start[where[new]], end[where[new]])
             place = np.searchsorted(self.keys, distinct)
         slot = self.slot[place][code]
+        known = same(data, start, end, self.data, self.place[slot], self.place[slot] + self.size[slot])
         length = self.length[slot]
         upto = np.concatenate(([0], np.cumsum(length)))
         ids = self.ids[np.repeat(self.begin[slot] - upto[:-1], length) + np.arange(upto[-1])]
         limits = upto[np.searchsorted(start, part.off)]
-        odd = self._odd(part)
+        odd = self._odd(part) | set((np.searchsorted(part.off, start[~known], "right") - 1).tolist())
         if odd:
             own = [self._whole(part.text(i)) if i in odd else ids[limits[i] : limits[i + 1]] for i in range(part.n)]
-            limits = np.concatenate(([0], np.cumsum([len(o) for o in own])))
-            ids = np.concatenate(own) if own else ids
+            return _joined(own)
         return ids, limits
 
     def _odd(self, part: Slice) -> set[int]:
@@ -142,6 +183,10 @@ class WordEncoder:
         return set((np.searchsorted(part.off, hits, "right") - 1).tolist()) if hits else set()
 
 
+def _joined(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *own]), np.concatenate(([0], np.cumsum([len(o) for o in own], dtype=np.int64)))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 

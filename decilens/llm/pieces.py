@@ -2,31 +2,40 @@
 
 No piece of the model has a white-space marker behind another character, so segmentation
 never crosses the place before a run of markers. A text is cut there (and around line
-feeds, where no piece holds one), each distinct chunk is segmented once by the library, and
-ids are joined back by position. The table lives in the task: joining 10**14 positions to a
-table of the whole corpus would shuffle several times the input, while a task's own table
-already spares nine of ten segmentations.
+feeds, where no piece holds one) into chunks: marked words.
+
+1. Texts are dealt to blocks of some megabytes. A block keeps, for each text, the places of
+   its chunks in the block's list of distinct chunks, and gives that list out, one row each.
+2. The lists are grouped by the bytes of the chunk: a table in which the library segments and
+   decodes each distinct chunk of the corpus once.
+3. The table is joined to the lists, and each block puts ids together by position.
+
+So words travel once a block, not once an occurrence, and no task holds the table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from decilens.llm._bytes import Slice, slices
-from decilens.llm._io import filled, plus, without
+from decilens.llm._bytes import Slice, hashed, padded, same, slices
+from decilens.llm._io import cut, filled, plus, without
 
 MARK = "▁"
+#: Bytes of the texts of a block; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 
 
 class ChunkCodec:
-    KEEP = 800_000  # distinct chunks remembered; beyond it the table starts anew
-
     def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -44,20 +53,23 @@ class ChunkCodec:
         spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.eos = self.library.eos_id()
-        self.reset()
-
-    def reset(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids: list[bytes] = []
-        self.texts: list[bytes] = []
 
     def whole(self, text: str) -> tuple[int, bytes, bytes]:
+        """Number of ids, ids as text, and the decoded text, all by the library."""
         ids = self.library.encode(text, add_eos=True)
         return len(ids), " ".join(map(str, ids)).encode(), self.library.decode(ids).encode()
 
-    def encode(self, part: Slice) -> Iterator[tuple[int, bytes, bytes]]:
-        """For each text the number of ids, the ids as text, and the decoded text."""
+    def segment(self, chunks: list[bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
+        """For each chunk the number of ids, the ids as text (each with a space behind it), and the
+        decoded text."""
+        ids = self.plain.encode([c.decode() for c in chunks], num_threads=1)
+        return [len(x) for x in ids], ["".join([f"{i} " for i in x]).encode() for x in ids], [t.encode() for t in self.plain.decode(ids, num_threads=1)]
+
+    def chunks(self, part: Slice) -> tuple[list[bytes], list]:
+        """The distinct chunks of a slice, and for each text the places of its chunks among them;
+        a text that cannot be cut has what ``whole`` says instead."""
+        if not self.separable:
+            return [], [self.whole(part.text(i).decode()) for i in range(part.n)]
         mark = MARK.encode()
         raw = part.buf.tobytes()
         odd = set()
@@ -66,54 +78,38 @@ class ChunkCodec:
             odd.add(int(np.searchsorted(part.off, at, "right")) - 1)
             at = raw.find(mark, at + 1)
         # The marker that the library puts before a text
-        some = np.flatnonzero(np.diff(part.off))
         buf, off = part.buf, part.off
         if self.prefixed:
+            some = np.flatnonzero(np.diff(part.off))
             buf = np.insert(buf, off[some], 32)
             off = off + np.concatenate(([0], np.cumsum(np.diff(part.off) > 0)))
-        made = Slice(part.first, buf, off)
         n = len(buf)
-        cut = np.zeros(n + 1, bool)
+        edge = np.zeros(n + 1, bool)
         if n:
             space, line = buf == 32, buf == 10
-            cut[1:n] = space[1:] & ~space[:-1]
+            edge[1:n] = space[1:] & ~space[:-1]
             if self.lines:
-                cut[1:n] |= line[1:] != line[:-1]
-            cut[off] = True
-            cut[n] = False
-        start = np.flatnonzero(cut)
+                edge[1:n] |= line[1:] != line[:-1]
+            edge[off] = True
+            edge[n] = False
+        start = np.flatnonzero(edge)
         end = np.append(start[1:], n)[: len(start)]
-        keys = made.hashed(made.prefix(), start, end)
-        distinct, where, code = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > self.KEEP:
-            self.reset()
-        place = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = place < len(self.keys)
-        new[inside] = self.keys[place[inside]] != distinct[inside]
-        if new.any():
-            data = buf.tobytes()
-            chunks = [data[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
-            ids = self.plain.encode(chunks, num_threads=1)
-            self.slot = np.insert(self.slot, place[new], len(self.ids) + np.arange(len(ids)))
-            self.keys = np.insert(self.keys, place[new], distinct[new])
-            self.count = np.concatenate([self.count, np.array([len(i) for i in ids], np.int64)])
-            self.ids += ["".join([f"{i} " for i in x]).encode() for x in ids]
-            self.texts += [t.encode() for t in self.plain.decode(ids, num_threads=1)]
-            place = np.searchsorted(self.keys, distinct)
-        slot = self.slot[place][code]
-        upto = np.concatenate(([0], np.cumsum(self.count[slot])))
+        data = padded(buf)
+        _, one, code = np.unique(hashed(data, start, end), return_index=True, return_inverse=True)
+        wrong = np.flatnonzero(~same(data, start, end, data, start[one[code]], end[one[code]]))
+        code[wrong] = len(one) + np.arange(len(wrong))  # equal hashes, other bytes: chunks of their own
+        one = np.concatenate((one, wrong))
+        made = buf.tobytes()
         first = np.searchsorted(start, off)
-        slots, all_ids, all_texts = slot.tolist(), self.ids, self.texts
-        tail = str(self.eos).encode()
-        for i in range(part.n):
-            if i in odd or not self.separable:
-                yield self.whole(part.text(i).decode())
-                continue
-            a, b = first[i], first[i + 1]
-            own = slots[a:b]
-            text = b"".join([all_texts[s] for s in own])
-            yield int(upto[b] - upto[a]) + 1, b"".join([all_ids[s] for s in own]) + tail, text[1:] if self.prefixed and own else text
+        code = code.astype(np.uint16 if len(one) <= 1 << 16 else np.uint32)
+        texts = [self.whole(part.text(i).decode()) if i in odd else code[first[i] : first[i + 1]] for i in range(part.n)]
+        return [made[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], texts
+
+    def join(self, places: np.ndarray, counts: np.ndarray, ids: list[bytes], texts: list[bytes]) -> tuple[int, bytes, bytes]:
+        """What ``whole`` says, from the segmented chunks of a block."""
+        own = places.tolist()
+        text = b"".join([texts[s] for s in own])
+        return int(counts[places].sum()) + 1, b"".join([ids[s] for s in own]) + str(self.eos).encode(), text[1:] if self.prefixed and own else text
 
 
 _codecs: dict[str, ChunkCodec] = {}
@@ -125,36 +121,104 @@ def codec(path: str) -> ChunkCodec:
     return _codecs[path]
 
 
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+_BLOCKS = "block long, slot int, chunk binary, n int, ids binary, decoded binary"
+
+
+def _deal(path: str, at: int, kept: list[int]):
+    """Of each block a row (slot -1) with its texts' places and other columns in ``ids``, and a row
+    for each distinct chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, block = codec(path), TaskContext.get().partitionId() << 32
+        squeeze = pa.Codec("zstd", 1)
+        for batch in batches:
+            others = pa.RecordBatch.from_arrays([batch.column(i) for i in kept], [batch.schema.names[i] for i in kept])
+            for part in slices(filled(batch.column(at)), BLOCK_BYTES):
+                chunks, texts = coder.chunks(part)
+                raw = pickle.dumps((_ipc(others.slice(part.first, part.n)), texts), protocol=5)
+                body = pickle.dumps((len(raw), squeeze.compress(raw, asbytes=True)))
+                n = len(chunks)
+                cols = [[block] * (n + 1), [-1, *range(n)], [None, *chunks], [None] * (n + 1), [body] + [None] * n, [None] * (n + 1)]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "slot", "chunk", "n", "ids", "decoded"])
+                block += 1
+
+    return run
+
+
+def _segment(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ids, texts = codec(path).segment(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["chunk", "n", "ids", "decoded"])
+
+    return run
+
+
+def _assemble(path: str, names: list[str], ids: bool):
+    """Rows of ``_BLOCKS`` by block and slot, segmented, to the rows of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, squeeze = codec(path), pa.Codec("zstd", 1)
+
+        def texts_of(body: bytes, counts: list, listed: list, decoded: list) -> pa.RecordBatch:
+            size, raw = pickle.loads(body)
+            others, texts = pickle.loads(squeeze.decompress(raw, size, asbytes=True))
+            (others,) = pa.ipc.open_stream(others)
+            counts = np.array(counts, np.int64)
+            found = [t if isinstance(t, tuple) else coder.join(t, counts, listed, decoded) for t in texts]
+            cols = [
+                pa.array([f[0] for f in found], pa.int64()),
+                *(pa.array([hashlib.sha256(f[i]).hexdigest() for f in found], pa.string()) for i in (1, 2)),
+            ]
+            if ids:
+                cols += [pa.array([[int(x) for x in f[1].split()] for f in found], pa.list_(pa.int32())), pa.array([f[2].decode() for f in found], pa.string())]
+            return pa.RecordBatch.from_arrays([*others.columns, *cols], names)
+
+        body, counts, listed, decoded = None, [], [], []
+        for batch in batches:
+            begins = set(np.flatnonzero(batch.column(1).to_numpy() == -1).tolist())
+            for a, b in pairwise(sorted({0, *begins, batch.num_rows})):
+                if a in begins:  # a new block
+                    if body is not None:
+                        yield texts_of(body, counts, listed, decoded)
+                    body, counts, listed, decoded = batch.column(4)[a].as_py(), [], [], []
+                    a += 1
+                counts += batch.column(3)[a:b].to_pylist()
+                listed += batch.column(4)[a:b].to_pylist()
+                decoded += batch.column(5)[a:b].to_pylist()
+        if body is not None:
+            yield texts_of(body, counts, listed, decoded)
+
+    return run
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of ``text``; with ``ids``
     also the ids themselves and the decoded text.
 
     Ids are those of the library with an end id, without sampling; null counts as empty, whose
-    only id is the end id. Columns named like the new ones are replaced.
+    only id is the end id. Texts that hold the marker itself, and all texts of a model whose
+    pieces cross markers, are encoded whole. Columns named like the new ones are replaced.
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     docs = without(docs, *[c for c in new if c != text])
     at = docs.columns.index(text)
     kept = [i for i in range(len(docs.columns)) if i != at]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for batch in batches:
-            n, a, b, all_ids, decoded = [], [], [], [], []
-            for part in slices(filled(batch.column(at))):
-                for count, listed, back in coder.encode(part):
-                    n.append(count)
-                    a.append(hashlib.sha256(listed).hexdigest())
-                    b.append(hashlib.sha256(back).hexdigest())
-                    if ids:
-                        all_ids.append([int(x) for x in listed.split()])
-                        decoded.append(back.decode())
-            cols = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if ids:
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], [*(batch.schema.names[i] for i in kept), *new])
-
     schema = plus(StructType([docs.schema.fields[i] for i in kept]), n_tokens="long", ids_sha256="string", decoded_sha256="string")
     if ids:
         schema = plus(schema, ids="array<int>", decoded="string")
-    return docs.mapInArrow(run, schema)
+    blocks = cut(docs.mapInArrow(_deal(path, at, kept), _BLOCKS))
+    lists = blocks.where("slot >= 0").select("block", "slot", "chunk")
+    table = lists.select("chunk").distinct().mapInArrow(_segment(path), "chunk binary, n int, ids binary, decoded binary")
+    known = lists.join(table, "chunk").select("block", "slot", "n", "ids", "decoded")
+    rows = blocks.where("slot = -1").select("block", "slot", "n", "ids", "decoded").union(known)
+    rows = rows.repartition("block").sortWithinPartitions("block", "slot").select("block", "slot", F.lit(None).cast("binary").alias("chunk"), "n", "ids", "decoded")
+    return rows.mapInArrow(_assemble(path, schema.names, ids), schema)

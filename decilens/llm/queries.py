@@ -38,14 +38,14 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality_rules(docs, text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> toxicity.Model:
     """Fitted on labelled documents that are not held out."""
     known = toxicity.bounded(labels.where(~held_out()), max_rows)
     # At most about max_rows pairs of numbers: bounded by a parameter, so it may be broadcast.
-    return toxicity.train(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), max_rows)
+    return toxicity.train(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
 
 
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decilens.llm._bytes import LETTER, LOWER, Slice, slices
+from decilens.llm._bytes import LETTER, LOWER, Slice, hashed, slices
 from decilens.llm._io import cut, filled, plus, without
 
 #: Terms that name groups, by kind; a term is swapped within its kind.
@@ -46,15 +46,19 @@ def swapped(text: str) -> str | None:
 
 
 def features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Text index and hash of each word and of its first 4, 5 and 6 bytes, with repeats."""
+    """Text index and hash of each word and of its first 4, 5 and 6 characters, with repeats."""
     start, end, first = part.runs(LETTER)
-    prefix = part.prefix(LOWER)
+    data = part.data(LOWER)
     doc = np.repeat(np.arange(part.n), np.diff(first))
-    docs, hashes = [doc], [part.hashed(prefix, start, end)]
+    docs, hashes = [doc], [hashed(data, start, end)]
+    begins = np.flatnonzero(part.buf & 0xC0 != 0x80)  # of characters
+    place = np.searchsorted(begins, start)
+    begins = np.append(begins, np.full(max(HEADS) + 1, len(part.buf)))
     for n in HEADS:
-        long = end - start > n
+        cut = begins[place + n]
+        long = end > cut
         docs.append(doc[long])
-        hashes.append(part.hashed(prefix, start[long], start[long] + n) ^ np.uint64(n))
+        hashes.append(hashed(data, start[long], cut[long], n))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
@@ -79,8 +83,12 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def _vectors(chosen: np.ndarray):
     """Of each labelled text the chosen features, and those of its counterfactual."""
 
+    def places(h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(chosen, h)
+        return at[np.append(chosen, ~h[-1:])[at] == h]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda texts: [np.flatnonzero(np.isin(chosen, h)) for part in slices(pa.array(texts, pa.string())) for h in _distinct(part)]
+        of = lambda texts: [places(h) for part in slices(pa.array(texts, pa.string())) for h in _distinct(part)]
         for batch in batches:
             texts = filled(batch.column(1)).to_pylist()
             other = [swapped(t) for t in texts]
@@ -101,51 +109,68 @@ class Model:
 
 
 def _fit(rows: list, n: int, l1: float, counterfactual: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient on weights >= 0, classes weighted to equal parts."""
+    """Accelerated proximal gradient on weights >= 0, classes weighted to equal parts.
+
+    Only features with a weight, and those whose gradient calls for one, take part in a descent;
+    descents go on until no other feature calls, so the optimum is that over all features.
+    """
 
     def sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
     y = np.array([r[0] for r in rows], float)
-    col, row = sparse([r[1] for r in rows])
     pairs = [(r[1], r[2]) for r in rows if r[2] is not None]
-    a, ar = sparse([p[0] for p in pairs])
-    b, br = sparse([p[1] for p in pairs])
+    of_text, of_pair, of_swap = sparse([r[1] for r in rows]), sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
     share = y.mean() if len(y) else 0.0
     c = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / max(len(y), 1)
-
-    def fit(l1: float, l2: float, free: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-        # Lipschitz bound: rows have few of the chosen features, whose columns are rare
-        heavy = np.bincount(row, free[col], minlength=len(y)).max(initial=1) + 1
-        cf = counterfactual / max(len(pairs), 1)
-        step = 1.0 / (0.25 * heavy + l2 + 2 * cf * (2 * heavy if pairs else 0) * max(len(pairs), 1))
+    cf = counterfactual / max(len(pairs), 1)
+
+    def gradient(v: np.ndarray, vb: float, text: tuple, one: tuple, two: tuple) -> tuple[np.ndarray, float]:
+        z = np.bincount(text[1], v[text[0]], minlength=len(y)) + vb
+        g = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        out = np.bincount(text[0], g[text[1]], minlength=len(v))
+        if pairs:
+            d = np.bincount(one[1], v[one[0]], minlength=len(pairs)) - np.bincount(two[1], v[two[0]], minlength=len(pairs))
+            out = out + 2 * cf * (np.bincount(one[0], d[one[1]], minlength=len(v)) - np.bincount(two[0], d[two[1]], minlength=len(v)))
+        return out, g.sum()
+
+    def descend(active: np.ndarray, l1: float, l2: float, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        place = np.full(n, -1)
+        place[active] = np.arange(len(active))
+        text, one, two = ((place[col][keep], row[keep]) for col, row in (of_text, of_pair, of_swap) for keep in [place[col] >= 0])
+        # Lipschitz bound: rows have few of the active features
+        heavy = np.bincount(text[1], minlength=len(y)).max(initial=1) + 1
+        step = 1.0 / (0.25 * heavy + l2 + (4 * counterfactual * heavy if pairs else 0))
+        w = w[active]
         v, vb, t = w.copy(), bias, 1.0
         for _ in range(rounds):
-            z = np.bincount(row, v[col], minlength=len(y)) + vb
-            g = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            gw = np.bincount(col, g[row], minlength=n) + l2 * v
-            if pairs:
-                d = np.bincount(ar, v[a], minlength=len(pairs)) - np.bincount(br, v[b], minlength=len(pairs))
-                gw += 2 * cf * (np.bincount(a, d[ar], minlength=n) - np.bincount(b, d[br], minlength=n))
-            new = np.maximum(v - step * (gw + l1), 0) * free
-            nb = vb - step * g.sum()
+            gw, gb = gradient(v, vb, text, one, two)
+            new, nb = np.maximum(v - step * (gw + l2 * v + l1), 0), vb - step * gb
             t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
             v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - bias)
             w, bias, t = new, nb, t2
-        return w, bias
-
-    w, bias = fit(l1, 0.0, np.ones(n), np.zeros(n), 0.0)
-    return fit(0.0, 1e-5, (w > 1e-3).astype(float), w, bias)  # without the shrinkage of l1
-
-
-def train(
-    labelled: DataFrame, max_rows: int = 16_000, max_features: int = 20_000, least: int = 3, l1: float = 5e-4, counterfactual: float = 1.0, rounds: int = 400
-) -> Model:
-    """``labelled(doc_id, text, toxic)`` to a model.
-
-    Fitted on about ``max_rows`` rows, taken by a hash of the doc_id. Of the features that
-    ``least`` toxic texts hold and that are likelier in toxic texts, the ``max_features`` most
-    telling ones are used; they and the rows' vectors over them come to the driver.
+        out = np.zeros(n)
+        out[active] = w
+        return out, bias
+
+    w, bias = np.zeros(n), 0.0
+    active = np.zeros(n, bool)
+    while True:
+        calls = ~active & (gradient(w, bias, of_text, of_pair, of_swap)[0] < -l1)
+        if not calls.any():
+            break
+        active |= calls
+        w, bias = descend(np.flatnonzero(active), l1, 0.0, w, bias)
+    return descend(np.flatnonzero(w > 1e-3), 0.0, 1e-5, w, bias)  # without the shrinkage of l1
+
+
+def train(labelled: DataFrame, least: int = 3, l1: float = 5e-4, counterfactual: float = 1.0, rounds: int = 800) -> Model:
+    """``labelled(doc_id, text, toxic)`` to a model; ``bounded`` chooses the rows.
+
+    All features that ``least`` toxic texts hold and that are at least twice as likely in toxic
+    texts are used. They and the rows' vectors over them come to the driver, so their number
+    is bounded by that of the rows. Rows whose label is neither 0 nor 1 are left out; a
+    document given several times counts as often.
     """
     labelled = labelled.where("toxic in (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
     sample = cut(labelled)
@@ -154,20 +179,25 @@ def train(
     if not pos or not neg:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
     df = sample.mapInArrow(_document_frequencies, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    gain = F.col("pos") * F.log((F.col("pos") + 0.5) / pos / ((F.col("neg") + 0.5) / neg))
-    telling = df.where((F.col("pos") >= least) & (F.col("pos") * neg > 2 * F.col("neg") * pos)).orderBy(gain.desc(), "feature").limit(max_features)
+    telling = df.where((F.col("pos") >= least) & (F.col("pos") * neg > 2 * F.col("neg") * pos))
     chosen = np.sort(np.array([r[0] for r in telling.select("feature").collect()], np.int64).view(np.uint64))
-    rows = [(r.toxic, r.x, r.other) for r in sample.mapInArrow(_vectors(chosen), "toxic int, x array<int>, other array<int>").toLocalIterator()]
+    rows = [(r.toxic, r.x, r.other) for r in sample.mapInArrow(_vectors(chosen), "toxic int, x array<int>, other array<int>").collect()]
     w, bias = _fit(rows, len(chosen), l1, counterfactual, rounds)
     return Model(chosen[w > 0], w[w > 0], float(bias))
 
 
 def bounded(labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, toxic) of about ``max_rows`` labelled documents, the same ones every time; a
-    document with several labels is toxic if any says so."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = max(1, labels.count())
-    return one.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.lit(int(min(1.0, max_rows / total) * (1 << 20))))
+    """(doc_id, toxic) of about ``max_rows`` labelled documents, the same ones every time.
+
+    Each label gets half of the rows, or all it has with the rest left to the other one;
+    within a label rows are taken by a hash of the doc_id. A document with several labels is
+    toxic if any says so; rows without a doc_id or label are left out.
+    """
+    one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n = {r[0]: r[1] for r in one.groupBy("toxic").count().collect()}
+    few = min(n.get(0, 0), n.get(1, 0), max_rows // 2)
+    share = lambda label: F.lit(int(min(1.0, max(max_rows // 2, max_rows - few) / max(1, n.get(label, 0))) * (1 << 20)))
+    return one.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
