@@ -90,7 +90,8 @@ def _em(lik: np.ndarray, doc: np.ndarray, first: np.ndarray, mix: np.ndarray, ro
 
 def infer(part: Slice, model: Model, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of each language in each text (zero outside its set), and which texts have
-    words."""
+    words. A text's result does not depend on the texts beside it. Memory follows the bytes
+    of the slice, at most a megabyte or one text: about 4 * (languages + 6) bytes for each."""
     k = len(model.langs)
     out = np.zeros((part.n, k), np.float32)
     code, at, first = trigrams(part)
@@ -107,12 +108,12 @@ def infer(part: Slice, model: Model, rounds: int, penalty: float) -> tuple[np.nd
     rank = np.argsort(np.argsort(-mix, axis=1, kind="stable"), axis=1, kind="stable")
     best, chosen = None, None
     cost = penalty * 0.5 * np.log(np.maximum(np.diff(limits), 2))
+    # A text tries sets as long as the next language has a share worth its penalty
+    worth = np.cumprod(np.take_along_axis(mix, np.argsort(rank, axis=1), 1) * np.diff(limits)[:, None] > 0.5, axis=1).astype(bool)
     for size in range(1, k + 1):
         open_ = rank < size
-        if size > 1:
-            # only texts in which the next language has a share worth its penalty
-            if not (np.take_along_axis(mix, np.argmax(rank == size - 1, axis=1)[:, None], 1) * np.diff(limits)[:, None] > 0.5).any():
-                break
+        if size > 1 and not worth[:, size - 1].any():
+            break
         start = np.where(open_, np.maximum(mix, np.float32(1e-3)), 0).astype(np.float32)
         own = start / start.sum(1, keepdims=True)
         if size > 1:
@@ -121,7 +122,7 @@ def infer(part: Slice, model: Model, rounds: int, penalty: float) -> tuple[np.nd
         if best is None:
             best, chosen = score, own
         else:
-            better = score > best
+            better = worth[:, size - 1] & (score > best)
             best, chosen = np.where(better, score, best), np.where(better[:, None], own, chosen)
     out[has] = chosen
     return out, has
