@@ -19,30 +19,34 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
-#: What the models judge: runs of token characters that are not part of a longer run.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: runs of so many token characters or more that are not part of a
+#: longer run. Shorter runs hold too few steps for a ratio of ``total``.
+LEAST = 20
+TOKEN = r"[A-Za-z0-9+/_=-]{%d,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
 
 _SPAN = "array<struct<start:int,kind:string,end:int>>"
+#: Steps of a running sum or maximum; together they cover any array Spark can hold.
+_STEPS = "array(" + ", ".join(str(1 << i) for i in range(31)) + ")"
+
+
+def running(values: str, fold: str = "v + a[i - d]") -> str:
+    """SQL of the running sum of an array: each step adds the value d places before, for d = 1, 2,
+    4, ..., so n values take n log n work and no array grows value by value."""
+    return f"aggregate({_STEPS}, {values}, (a, d) -> if(size(a) > d, transform(a, (v, i) -> if(i >= d, {fold}, v)), a))"
 
 
 def _spans(kind: str, matches: str, groups: str, between: str, least: int) -> Column:
     """Spans of the matches whose group has ``least`` characters; code points, end exclusive.
 
-    A match starts after the texts and matches before it.
+    A match ends where the texts and matches up to it do. Arrays are zipped, as Spark may put
+    the expression behind a column into a lambda that reads it, and run it for each value.
     """
-    return F.expr(
-        f"""aggregate(sequence(1, size({matches})),
-              named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-              (a, i) -> named_struct(
-                'at', a.at + length({between}[i - 1]) + length({matches}[i - 1]),
-                'out', if(length({groups}[i - 1]) < {least}, a.out,
-                          concat(a.out, array(named_struct('start', a.at + length({between}[i - 1]), 'kind', '{kind}',
-                            'end', a.at + length({between}[i - 1]) + length({matches}[i - 1])))))),
-              a -> a.out)"""
-    )
+    ends = running(f"zip_with({matches}, slice({between}, 1, size({matches})), (m, b) -> length(b) + length(m))")
+    each = f"zip_with(zip_with({matches}, {ends}, (m, e) -> named_struct('start', e - length(m), 'kind', '{kind}', 'end', e)), {groups}, (s, g) -> if(length(g) >= {least}, s, null))"
+    return F.expr(f"filter({each}, s -> s is not null)")
 
 
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
@@ -128,24 +132,14 @@ IDENTIFIERS = (
 ).split()
 
 
-def _model_spans(weights: list[float], total: float, each: float) -> tuple[Column, Column]:
-    """Spans of the tokens (__t, with texts between them in __tb) that the random model explains
-    better by their scores __s; and those scores."""
+def _scores(weights: list[float]) -> Column:
+    """The log-likelihood ratio of each token in __t."""
     lut = [0] * 128
     for i, c in enumerate(ALPHABET):
         lut[ord(c)] = i
     lut_sql = "array(" + ",".join(map(str, lut)) + ")"
     w_sql = "array(" + ",".join(f"cast({w:.6f} as double)" for w in weights) + ")"
     return F.expr(
-        f"""aggregate(sequence(1, size(__t)),
-              named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-              (a, i) -> named_struct(
-                'at', a.at + length(__tb[i - 1]) + length(__t[i - 1]),
-                'out', if(__s[i - 1] < greatest({total}D, {each}D * (length(__t[i - 1]) - 1)), a.out,
-                          concat(a.out, array(named_struct('start', a.at + length(__tb[i - 1]), 'kind', 'markov',
-                            'end', a.at + length(__tb[i - 1]) + length(__t[i - 1])))))),
-              a -> a.out)"""
-    ), F.expr(
         f"""transform(__t, t -> aggregate(
               transform(split(t, ''), c -> {lut_sql}[ascii(c)]),
               named_struct('last', -1, 's', 0D),
@@ -154,24 +148,42 @@ def _model_spans(weights: list[float], total: float, each: float) -> tuple[Colum
     )
 
 
-def scan_secrets(docs: DataFrame, weights: list[float], text: str = "text", total: float = 20.0, each: float = 0.5) -> DataFrame:
+def _met(spans: str, others: str) -> str:
+    """SQL: for each of ``spans``, sorted and apart, how many of ``others`` it meets.
+
+    Those that start before its end, less those that end before its start: both counts are
+    running sums over the sorted places.
+    """
+
+    def counts(place: str, mark: str, first: int) -> str:
+        """How many ``mark`` of others lie before ``place`` of each span, or at it too if first is 0."""
+        events = f"array_sort(concat(transform({spans}, s -> named_struct('at', s.{place}, 'o', {1 - first}, 'n', 0)), transform({others}, s -> named_struct('at', s.{mark}, 'o', {first}, 'n', 1))))"
+        sums = running(f"transform({events}, e -> e.n)")
+        return f"transform(filter(zip_with({events}, {sums}, (e, n) -> named_struct('own', e.n = 0, 'n', n)), e -> e.own), e -> e.n)"
+
+    return f"zip_with({counts('end', 'start', 1)}, {counts('start', 'end', 0)}, (a, b) -> a - b)"
+
+
+def scan_secrets(docs: DataFrame, weights: list[float], text: str = "text", total: float = 20.0, each: float = 0.5, least: int = LEAST) -> DataFrame:
     """``docs`` with ``assign``, ``access``, ``hex`` and ``markov``: arrays of (start, kind, end).
 
-    Positions count code points, end exclusive. A markov span is a token of 20 or more
+    Positions count code points, end exclusive. A markov span is a token of ``least`` or more
     characters that touches no base span and whose log-likelihood ratio is at least ``total``
     and ``each`` per step. Null and empty texts have no spans; columns named like the new ones
-    are replaced.
+    are replaced. Work grows with n log n in the spans of a text.
     """
     docs = without(docs, "assign", "access", "hex", "markov")
     rows = base_spans(docs, text)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumn("__t", F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)))
-    rows = rows.withColumn("__tb", F.when(F.size("__t") > 0, F.split(body, TOKEN, -1)))
-    spans, scores = _model_spans(weights, total, each)
-    rows = rows.withColumn("__s", scores)
-    rows = rows.withColumn("__k", F.when(F.size("__t") > 0, spans).otherwise(F.expr(f"cast(array() as {_SPAN})")))
+    token = TOKEN % least
+    none = F.expr(f"cast(array() as {_SPAN})")
+    rows = rows.withColumn("__t", F.regexp_extract_all(body, F.lit(token), F.lit(0)))
+    rows = rows.withColumn("__tb", F.when(F.size("__t") > 0, F.split(body, token, -1)))
+    rows = rows.withColumns({"__s": _scores(weights), "__k": F.when(F.size("__t") > 0, _spans("markov", "__t", "__t", "__tb", 0)).otherwise(none)})
+    rows = rows.withColumn("__k", F.expr(f"filter(zip_with(__k, __s, (k, s) -> if(s >= greatest({total}D, {each}D * (k.end - k.start - 1)), k, null)), k -> k is not null)"))
     rows = rows.withColumn("__base", F.concat("__assign", "__access", "__hex"))
-    free = F.expr("filter(__k, k -> not exists(__base, b -> b.start < k.end and k.start < b.end))")
+    rows = rows.withColumn("__met", F.when((F.size("__k") > 0) & (F.size("__base") > 0), F.expr(_met("__k", "__base"))))
+    free = F.when(F.col("__met").isNull(), F.col("__k")).otherwise(F.expr("filter(zip_with(__k, __met, (k, n) -> if(n = 0, k, null)), k -> k is not null)"))
     return rows.select(*docs.columns, F.col("__assign").alias("assign"), F.col("__access").alias("access"), F.col("__hex").alias("hex"), free.alias("markov"))
 
 
@@ -182,19 +194,27 @@ def listed(*spans: str) -> Column:
     return F.expr(f"array_join(transform({joined}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
 
 
+#: Characters of the pieces of a text from which ranges are taken.
+_PIECE = 4096
+
+
+def _range(a: str, b: str) -> str:
+    """SQL: characters a to b (exclusive) of the text in __pieces, without a walk from its start."""
+    pieces = f"array_join(slice(__pieces, {a} div {_PIECE} + 1, ({b} - 1) div {_PIECE} - {a} div {_PIECE} + 1), '')"
+    return f"if({b} <= {a}, '', substring({pieces}, cast({a} % {_PIECE} as int) + 1, {b} - {a}))"
+
+
 def redact(docs: DataFrame, weights: list[float], text: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``mask``; overlapping spans become one."""
+    """``docs`` with every span of ``text`` replaced by ``mask``; spans that overlap or touch
+    become one."""
     rows = scan_secrets(docs.withColumn("__text", F.col(text)), weights, "__text", **options)
-    merged = F.expr(
-        """aggregate(array_sort(concat(assign, access, hex, markov)), cast(array() as array<struct<start:int,end:int>>),
-             (a, s) -> if(size(a) > 0 and element_at(a, -1).end >= s.start,
-                          concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))),
-                          concat(a, array(named_struct('start', s.start, 'end', s.end)))))"""
-    )
-    rows = rows.withColumn("__spans", F.when(F.size("assign") + F.size("access") + F.size("hex") + F.size("markov") > 0, merged))
+    rows = rows.withColumn("__spans", F.array_sort(F.concat("assign", "access", "hex", "markov"))).withColumn("__some", F.size("__spans") > 0)
+    # __ends: how far the spans up to each one reach; a span that starts beyond that begins a gap
+    rows = rows.withColumn("__ends", F.when(F.col("__some"), F.expr(running("transform(__spans, s -> s.end)", "greatest(v, a[i - d])"))))
+    rows = rows.withColumn("__pieces", F.when(F.col("__some"), F.regexp_extract_all("__text", F.lit("(?s).{1,%d}" % _PIECE), F.lit(0))))
+    gap = _range("if(i = 0, 0, __ends[i - 1])", "s.start")
     cleaned = F.expr(
-        f"""concat(array_join(transform(__spans, (s, i) -> concat(
-               substring(__text, if(i = 0, 0, __spans[i - 1].end) + 1, s.start - if(i = 0, 0, __spans[i - 1].end)), '{mask}')), ''),
-             substring(__text, element_at(__spans, -1).end + 1))"""
+        f"""concat(array_join(transform(__spans, (s, i) -> if(i > 0 and s.start <= __ends[i - 1], '', concat({gap}, '{mask}'))), ''),
+             {_range("element_at(__ends, -1)", "length(__text)")})"""
     )
-    return rows.withColumn(text, F.when(F.col("__spans").isNull(), F.col("__text")).otherwise(cleaned)).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.col("__some"), cleaned).otherwise(F.col("__text"))).select(*docs.columns)
