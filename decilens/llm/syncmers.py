@@ -1,11 +1,11 @@
 """Document fingerprints from closed syncmers, as DataFrame expressions only.
 
-A text is a sequence of stretches: its white-space separated words, words longer than eight
-characters in pieces of eight. A run of ``K`` stretches is a closed syncmer if the least
-hash among its inner runs of ``S`` stretches stands at its first or last place. Whether a run
-is chosen depends on the run alone, so equal passages choose equal anchors wherever they
-stand. A fingerprint has every anchor with the place of its first stretch, in order of place,
-so that passages can be matched by position; two fingerprints give the share of common anchors.
+A k-mer is a run of ``K`` characters. It is a closed syncmer if, of the hashes of its inner
+runs of ``S`` characters, the least stands at its first or last place. Whether a k-mer is
+chosen depends on the k-mer alone, so equal passages choose equal anchors wherever they
+stand and whatever stands around them. A fingerprint has every anchor with its place, in
+order of place, so passages can be matched by position; two fingerprints give the share of
+common anchors.
 """
 
 from __future__ import annotations
@@ -14,37 +14,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STRETCH = r"\S{1,8}"
-K, S = 4, 2
-#: Rows of a range of doc_ids, and the most ranges there are.
-RANGE_ROWS, MOST_RANGES = 500, 100_000
+from decilens.llm._io import cut
+
+K, S = 24, 8
+#: Inner runs of a k-mer stand at places 0 to SPAN. Doubling covers SPAN of them; S divides SPAN and K.
+SPAN = K - S
+#: k-mers of a stretch; stretches overlap by K - 1 characters, so no k-mer is lost between them.
+STRETCH = 4096
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for ``value``, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` with ``out``: every anchor of a text in order of place, as a long with the place
-    of its first stretch (from 0) in the upper and its hash in the lower 32 bits.
+    of its first character (from 0) in the upper and its hash in the lower 32 bits.
 
-    A text with fewer than ``2 * K`` stretches has each of them as an anchor besides its
-    syncmers; one without any has none. Null counts as empty.
+    A text is read with ``K - 1`` end marks (U+0000) behind it, so a k-mer begins at each of its
+    characters and its last one is always an anchor: any text but the empty one has anchors.
+    Null counts as empty. Texts are worked on stretch by stretch: memory beyond the text and its
+    anchors does not grow with the text.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("__w", F.transform(F.regexp_extract_all(body, F.lit(STRETCH), F.lit(0)), lambda w: F.xxhash64(w)))
-    inner = ", ".join(f"__w[i + {j}]" for j in range(S))
-    docs = docs.withColumn("__g", F.expr(f"if(size(__w) >= {K}, transform(sequence(0, size(__w) - {S}), i -> xxhash64({inner})), null)"))
-    span = K - S  # inner runs start at 0..span; at both edges, equal hashes count as least
-    inside = ", ".join(f"__g[i + {j}]" for j in range(1, span))
-    closed = f"__g[i] <= least({inside}, __g[i + {span}]) or __g[i + {span}] <= least({inside}, __g[i])"
-    covering = ", ".join(f"__g[i + {j}]" for j in sorted({*range(0, span, S), span}))
-    chosen = f"transform(filter(sequence(0, size(__g) - {span + 1}), i -> {closed}), i -> shiftleft(cast(i as bigint), 32) | shiftrightunsigned(xxhash64({covering}), 32))"
-    none = "cast(array() as array<bigint>)"
-    single = "transform(__w, (w, i) -> shiftleft(cast(i as bigint), 32) | shiftrightunsigned(w, 32))"
-    found = f"if(__g is null, {none}, {chosen})"
-    return docs.withColumn(out, F.expr(f"if(size(__w) < {2 * K}, sort_array(concat({single}, {found})), {found})")).drop("__w", "__g")
-
-
-def hashes(a: str) -> Column:
-    """The distinct anchor hashes of a fingerprint."""
-    return F.expr(f"array_distinct(transform({a}, x -> x & 4294967295L))")
+    read = f"concat(coalesce({text}, ''), repeat(char(0), if(length(coalesce({text}, '')) > 0, {K - 1}, 0)))"
+    stretches = f"regexp_extract_all({read}, '(?s)(?=(.{{1,{STRETCH + K - 1}}})).{{1,{STRETCH}}}', 1)"
+    hashes = f"transform(regexp_extract_all(t, '(?s)(?=(.{{{S}}})).', 1), x -> xxhash64(x))"
+    steps = ", ".join(str(1 << i) for i in range(SPAN.bit_length() - 1))
+    least = f"aggregate(array({steps}), g, (a, d) -> transform(a, (v, i) -> least(v, get(a, i + d))))"  # of SPAN runs from each place
+    closed = f"filter(sequence(0, size(g) - {SPAN + 1}), i -> g[i + {SPAN}] <= m[i] or g[i] = m[i])"
+    hashed = ", ".join(f"g[i + {j}]" for j in range(0, K, S))
+    found = f"transform({closed}, i -> shiftleft(cast(j as bigint) * {STRETCH} + i, 32) | shiftrightunsigned(xxhash64({hashed}), 32))"
+    each = _let("g", hashes, f"if(size(g) > {SPAN}, {_let('m', least, found)}, cast(array() as array<bigint>))")
+    return docs.withColumn(out, F.expr(f"flatten(transform({stretches}, (t, j) -> {each}))"))
+
+
+def hashes(a: str) -> str:
+    """SQL of the distinct anchor hashes of a fingerprint."""
+    return f"array_distinct(transform({a}, x -> x & 4294967295L))"
 
 
 def likeness(a: str, b: str) -> Column:
@@ -61,42 +68,40 @@ def written(a: str) -> Column:
     return F.expr(f"array_join(transform({a}, x -> lpad(hex(x), 16, '0')), '')")
 
 
-def _range(bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at or below __id, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    edges = f"array({','.join(f'{b}L' for b in bounds)})"
-    half = "cast((a.lo + a.hi) div 2 as int)"
-    return F.expr(
-        f"""aggregate(sequence(1, {len(bounds).bit_length()}), named_struct('lo', 0, 'hi', {len(bounds)}),
-              (a, i) -> if(a.lo >= a.hi, a,
-                if({edges}[{half}] <= __id, named_struct('lo', {half} + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', {half}))),
-              a -> a.lo)"""
-    )
+def passages(prints: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
+    """Matching by position: ``prints(doc_id, fp)`` and ``pairs(a, b)`` of their doc_ids to
+    (a, b, shift, anchors, first, last).
+
+    Anchors that stand once in each text are matched; those with the same shift (place in b
+    less place in a) form a passage if they are ``least`` or more, with its first and last
+    place in a. Pairs of unknown ids and fingerprints without common anchors give no row.
+    """
+    one = prints.select("doc_id", F.explode("fp").alias("x")).groupBy("doc_id", F.expr("x & 4294967295L").alias("h"))
+    one = one.agg(F.expr("max(shiftright(x, 32))").alias("at"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    side = lambda c, at: one.select(F.col("doc_id").alias(c), "h", F.col("at").alias(at))
+    met = pairs.select("a", "b").distinct().join(side("a", "p"), "a").join(side("b", "q"), ["b", "h"])
+    found = met.groupBy("a", "b", (F.col("q") - F.col("p")).alias("shift")).agg(F.count(F.lit(1)).alias("anchors"), F.min("p").alias("first"), F.max("p").alias("last"))
+    return found.where(F.col("anchors") >= least)
 
 
-def ranged(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, text, __id, __h, __range, __guest): rows dealt by ranges of doc_id, and behind
-    the rows of each range a guest, the first row of the next one (of the first for the last).
+def before(keys: DataFrame) -> DataFrame:
+    """``keys(__id, __h, __n, __m)``, one row a key, with __pid, __ph and __pn of the key before it
+    in order of (__id, __h); before the first stands the last.
 
-    Bounds are quantiles, so ranges are even however ids are spread. The ids where ranges
-    begin come to the driver, at most ``MOST_RANGES``; texts do not.
+    Keys are dealt to ranges, by bounds that Spark takes from the keys themselves, and look back
+    within their range; the first of a range takes the last of the range before, from a table
+    with one row for each range.
     """
-    rows = docs.select("doc_id", text).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__h": F.xxhash64(text)})
-    n = min(MOST_RANGES, docs.count() // RANGE_ROWS)
-    bounds: list[int] = []
-    if n > 1:
-        found = rows.agg(F.percentile_approx("__id", [i / n for i in range(1, n)], 10 * n)).first()[0]
-        bounds = sorted(set(found or []))
-    rows = rows.withColumns({"__range": _range(bounds), "__guest": F.lit(False)})
-    begins = [tuple(r) for r in rows.select("__range", "__id").groupBy("__range").agg(F.min("__id")).orderBy("__range").collect()]
-    if not begins:
-        return rows
-    before = {r: begins[i - 1][0] for i, (r, _) in enumerate(begins)}
-    to = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__range"))
-    first = rows.where(F.col("__id").isin([b for _, b in begins])).groupBy("__range").agg(F.min_by(F.struct("doc_id", text, "__id", "__h"), F.struct("__id", "__h")).alias("r"))
-    guests = first.select("r.*", to.alias("__range"), F.lit(True).alias("__guest"))
-    return rows.union(guests).repartition("__range")
+    # Written first: the number of a range is only known where its rows lie.
+    rows = cut(keys.repartitionByRange("__id", "__h").withColumn("__range", F.spark_partition_id()))
+    w = W.partitionBy("__range").orderBy("__id", "__h")
+    key = F.struct("__id", "__h", "__n")
+    ends = rows.groupBy("__range").agg(F.max(key).alias("__last"))
+    order = W.partitionBy(F.lit(0)).orderBy("__range")  # one row for each range
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = ends.select("__range", F.coalesce(F.lag("__last").over(order), F.last("__last").over(whole)).alias("__edge"))
+    rows = rows.withColumn("__prev", F.lag(key).over(w)).join(ends, "__range").withColumn("__prev", F.coalesce("__prev", "__edge"))
+    return rows.select("__id", "__h", "__m", *[F.col(f"__prev.__{c}").alias(f"__p{c}") for c in ("id", "h", "n")])
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -105,15 +110,39 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     ``edited`` is the text with its last floor(n / 4) code points replaced by the first as many
     (or all) of the next document, by ascending doc_id; after the last comes the first. Rows
     without a doc_id come before all others, rows with one doc_id follow each other by a hash
-    of their text. Null texts count as empty. Other columns are ignored.
+    of their text, and of rows with the same doc_id and text all but the last are followed by
+    their like. Null texts count as empty. Other columns are ignored.
+
+    Texts are shuffled once, by their key; the head of each text, as long as the document
+    before it needs, and its anchor hashes travel to that document.
     """
     docs = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = anchors(ranged(docs, "text"), "text", "fp").withColumn("__set", hashes("fp"))
-    w = W.partitionBy("__range").orderBy("__guest", "__id", "__h")
-    rows = rows.withColumns({"__next": F.lead("text").over(w), "__next_set": F.lead("__set").over(w)}).where("not __guest")
-    rows = rows.withColumn("__n", F.length("text"))
-    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, __n - __n div 4), substring(__next, 1, cast(__n div 4 as int)))"))
-    rows = anchors(rows, "edited", "edited_fp").withColumn("__edited_set", hashes("edited_fp"))
-    return rows.select(
-        "doc_id", "text", "edited", "fp", "edited_fp", likeness("__set", "__edited_set").alias("near_edited"), likeness("__set", "__next_set").alias("near_next")
+    docs = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__h": F.xxhash64("doc_id", "text")})
+    keys = docs.select("__id", "__h", F.length("text").alias("__n")).groupBy("__id", "__h").agg(F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__m"))
+    order = before(keys)
+
+    rows = anchors(docs, "text", "fp").groupBy("__id", "__h").agg(F.first(F.struct("doc_id", "text", "fp")).alias("__r"))
+    rows = rows.join(order, ["__id", "__h"])
+    heads = rows.select(
+        F.col("__pid").alias("__id"), F.col("__ph").alias("__h"),
+        F.expr("substring(__r.text, 1, cast(__pn div 4 as int))").alias("__head"), F.expr(f"transform({hashes('__r.fp')}, x -> cast(x - 2147483648L as int))").alias("__next"),
+    )
+    rows = rows.select("__id", "__h", "__m", "__r").join(heads, ["__id", "__h"]).select("__r.*", "__m", "__head", F.expr("transform(__next, x -> x + 2147483648L)").alias("__next"))
+    rows = rows.withColumns({"__n": F.length("text"), "__set": F.expr(hashes("fp"))})
+    # Of repeated rows all but one are followed by their like
+    copies = F.when(F.col("__m") > 1, F.array(F.struct(F.lit(1).cast("long").alias("times"), F.lit(False).alias("own")), F.struct((F.col("__m") - 1).alias("times"), F.lit(True).alias("own")))).otherwise(
+        F.array(F.struct(F.lit(1).cast("long").alias("times"), F.lit(False).alias("own")))
+    )
+    rows = rows.withColumn("__c", F.explode(copies)).withColumns(
+        {"__head": F.expr("if(__c.own, substring(text, 1, cast(__n div 4 as int)), __head)"), "__next": F.expr("if(__c.own, __set, __next)"), "__times": F.col("__c.times")}
+    )
+    rows = rows.withColumns({"__kept": F.expr("__n - cast(__n div 4 as int)"), "edited": F.expr("concat(substring(text, 1, __n - cast(__n div 4 as int)), __head)")})
+    # Anchors of the kept part are those of the text; only k-mers that reach beyond it are looked for again.
+    rows = rows.withColumn("__from", F.expr(f"greatest(__kept - {K - 1}, 0)")).withColumn("__tail", F.expr("substring(edited, __from + 1)"))
+    rows = anchors(rows, "__tail", "__found")
+    rows = rows.withColumn("edited_fp", F.expr("concat(filter(fp, x -> shiftright(x, 32) < __from), transform(__found, x -> x + shiftleft(cast(__from as bigint), 32)))"))
+    rows = rows.withColumn("__edited_set", F.expr(hashes("edited_fp")))
+    out = rows.select(
+        "doc_id", "text", "edited", "fp", "edited_fp", likeness("__set", "__edited_set").alias("near_edited"), likeness("__set", "__next").alias("near_next"), "__times"
     )
+    return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).drop("__times", "__i")
