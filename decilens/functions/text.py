@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The token pattern, and the words that searches leave out.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+STOPWORDS = tuple(
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+)
 
 
 def tokens(text: Column) -> Column:
@@ -13,6 +17,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def terms(text: Column) -> Column:
+    """The tokens that are no stop words, repeats kept."""
+    return F.filter(tokens(text), lambda t: ~t.isin(*STOPWORDS))
+
+
 def check_chunking(size: int, overlap: int) -> None:
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError(f"chunk size {size} and overlap {overlap}: need 0 <= overlap < size")

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 EDGE_STEPS = "[0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+_STOP = "('" + "','".join("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()) + "')"
+
+
+def terms_of(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), '{TOKEN}'), lambda w: w not in {_STOP})"
 
 
 def decile_of(value: str, edges: str = "e") -> str:
@@ -31,12 +36,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("article",),
         "select wikipedia_id, (s / 900)::int chunk_id, substr(text, s + 1, 1000) chunk from (select wikipedia_id, text, unnest(range(0, greatest(length(text), 1), 900))::int s from article)",
     ),
-    "chunk_tokens": (("chunk",), f"select wikipedia_id, chunk_id, regexp_extract_all(lower(chunk), '{TOKEN}') t from chunk"),
+    "chunk_tokens": (("chunk",), f"select wikipedia_id, chunk_id, {terms_of('chunk')} t from chunk"),
     "lens": (("chunk_tokens",), "select wikipedia_id, chunk_id, len(t) len from chunk_tokens"),
     "postings": (("chunk_tokens",), "select term, wikipedia_id, chunk_id, count(*) tf from (select wikipedia_id, chunk_id, unnest(t) term from chunk_tokens) group by all"),
     "terms": (("postings",), "select term, count(*) df from postings group by term"),
     "totals": (("lens",), "select count(*) n, avg(len) avg_len from lens"),
-    "qterms": (("question",), f"select distinct question_id, unnest(regexp_extract_all(lower(question_text), '{TOKEN}')) term from question"),
+    "qterms": (("question",), f"select question_id, term, count(*) qtf from (select question_id, unnest({terms_of('question_text')}) term from question) group by all"),
 }
 
 IDF = {
@@ -62,9 +67,9 @@ def ranked_cte(variant: str, k: int) -> str:
     return f"""select question_id, (rn - 1)::int doc_rank, wikipedia_id, chunk_id, score from (
       select *, row_number() over (partition by question_id order by round(score, 9) desc, wikipedia_id, chunk_id) rn from (
         select s.question_id, s.wikipedia_id, s.chunk_id, s.stored + a.absent score from
-          (select q.question_id, p.wikipedia_id, p.chunk_id, sum({IDF[variant]} * {TF[variant]}) stored
+          (select q.question_id, p.wikipedia_id, p.chunk_id, sum(qtf * {IDF[variant]} * {TF[variant]}) stored
              from qterms q join terms t using (term) join postings p using (term) join lens l using (wikipedia_id, chunk_id), totals group by all) s
-          join (select question_id, sum({IDF[variant]} * {ABSENT[variant]}) absent from qterms join terms using (term), totals group by all) a using (question_id)))
+          join (select question_id, sum(qtf * {IDF[variant]} * {ABSENT[variant]}) absent from qterms join terms using (term), totals group by all) a using (question_id)))
       where rn <= {k}"""
 
 

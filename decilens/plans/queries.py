@@ -58,8 +58,24 @@ def qdec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_decile(spark, sf_dir, T.question(spark, sf_dir))
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A ranked list of this session, persisted when it is first asked for and shared by the
+    queries that read it. Lists have k rows for each question; lost blocks are made again."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def index(spark: SparkSession, sf_dir: str, variant: str = "bm25plus") -> bm25.Index:
+    return bm25.build(T.article(spark, sf_dir), bm25.Config(variant=variant))
+
+
 def ranked(spark: SparkSession, sf_dir: str, variant: str = "bm25plus", k: int = 10) -> DataFrame:
-    return bm25.search(bm25.build(T.article(spark, sf_dir), bm25.Config(variant=variant)), T.question(spark, sf_dir), k)
+    return kept(spark, (sf_dir, variant, k), lambda: bm25.search(index(spark, sf_dir, variant), T.question(spark, sf_dir), k))
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
