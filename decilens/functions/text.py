@@ -22,6 +22,11 @@ def terms(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(*STOPWORDS))
 
 
+def prefixed(text: Column, kind: str) -> Column:
+    """The form in which encoders take queries and passages."""
+    return F.concat(F.lit(f"{kind}: "), text)
+
+
 def check_chunking(size: int, overlap: int) -> None:
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError(f"chunk size {size} and overlap {overlap}: need 0 <= overlap < size")

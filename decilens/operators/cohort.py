@@ -67,7 +67,8 @@ def deficit(questions: DataFrame, target: int) -> DataFrame:
 
 def hash_split(df: DataFrame, key: str = "question_id", train: float = 0.9, seed: int = 42) -> DataFrame:
     """``split``: train or test by a hash of the key, stable as rows come and go."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(10_000)) < int(train * 10_000), "train").otherwise("test"))
+    low = F.conv(F.substring(draw_order(key, seed), 1, 6), 16, 10).cast("long")
+    return df.withColumn("split", F.when(low < train * 16**6, "train").otherwise("test"))
 
 
 def in_all(tables: dict[str, DataFrame], key: str = "question_id") -> DataFrame:
@@ -100,3 +101,8 @@ def many_to_one(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     w = W.partitionBy(*keys)
     once = right.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.lit(f"keys {keys} are not unique"))).otherwise(F.col("__n")))
     return left.join(once.where("__n = 1").drop("__n"), list(keys))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join that fails when a key is repeated on either side."""
+    return many_to_one(many_to_one(right.select(*keys), left, *keys), right, *keys)

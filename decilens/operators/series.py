@@ -28,6 +28,16 @@ def binned(rows: DataFrame, x: str, y: str, bins: int = 10, least: int = 1) -> D
     return hit.groupBy("bin").agg(F.avg(x).alias("x"), F.avg(y).alias("y"), stats.mean_ci(F.col(y)).alias("ci"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def cut(rows: DataFrame, x: str, y: str, bins: int = 10, log: bool = False) -> DataFrame:
+    """Mean and interval of y over equal-width bins of x, or of its logarithm; bins are closed on
+    the right, so the least value falls in none."""
+    v = F.log(x) if log else F.col(x).cast("double")
+    span = rows.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    found = rows.crossJoin(F.broadcast(span)).withColumn("bin", F.ceil((v - F.col("__lo")) / ((F.col("__hi") - F.col("__lo")) / bins)).cast("int") - 1)
+    found = found.where(F.col("bin").between(0, bins - 1))
+    return found.groupBy("bin").agg(F.avg(x).alias("x"), F.avg(y).alias("y"), stats.mean_ci(F.col(y)).alias("ci"), F.count(F.lit(1)).alias("n"))
+
+
 def latency(rows: DataFrame, value: Column, *by: str) -> DataFrame:
     p = F.call_function("percentile", value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), p.alias("p"))

@@ -57,12 +57,12 @@ def two_period_views(spark, sf_dir):
 
 
 @query(
-    """select id, month, coalesce(views, 0)::bigint views from (select id, unnest(range(lo::date, hi::date + interval 1 day, interval 1 month))::date m, null from (select id, date_trunc('month', min(at_)) lo, date_trunc('month', max(at_)) hi from pageviews where id <= 20 group by id)) s
+    """select id, month, coalesce(views, 0)::bigint views from (select id, unnest(range(lo::date, hi::date + interval 1 day, interval 1 month))::date m, null from (select id, date_trunc('month', min(at_)) lo, date_trunc('month', max(at_)) hi from pageviews group by id)) s
        join lateral (select strftime(s.m, '%Y%m') as month) x on true left join (select id, period as month, views from monthly) using (id, month)""",
     "pageviews", "monthly",
 )
 def calendar_months(spark, sf_dir):
-    v = T.pageviews(spark, sf_dir).where("id <= 20")
+    v = T.pageviews(spark, sf_dir)
     span = v.groupBy("id").agg(F.trunc(F.min("at"), "month").alias("lo"), F.trunc(F.max("at"), "month").alias("hi"))
     months = span.select("id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("d")).select("id", F.date_format("d", "yyyyMM").alias("month"))
     return months.join(T.monthly(spark, sf_dir).withColumnRenamed("period", "month"), ["id", "month"], "left").select("id", "month", F.coalesce("views", F.lit(0)).alias("views"))
@@ -267,7 +267,7 @@ def substring_evaluation(spark, sf_dir):
     return first.select("question_id", X.contains_answer(F.col("chunk"), F.col("answer_texts")).alias("correct"))
 
 
-@query()
+@query("select question_id, case when ('0x' || md5('42:' || question_id)[1:6])::int < 0.9 * 16777216 then 'train' else 'test' end split from question", "question")
 def train_test_split(spark, sf_dir):
     return cohort.hash_split(T.question(spark, sf_dir)).select("question_id", "split")
 

@@ -591,7 +591,7 @@ def disagreement(spark, sf_dir):
     return answers.shares(rows, "category", ("both", "gold_only", "substring_only", "neither"))
 
 
-_BAND = "case when {0} <= 10 then '9-10' when {0} <= 12 then '11-12' when {0} <= 20 then '13-20' else '21+' end"
+_BAND = "case when {0} <= 2 then '1-2' when {0} <= 5 then '3-5' when {0} <= 10 then '6-10' when {0} <= 20 then '11-20' else '21+' end"
 
 
 @query(
@@ -729,22 +729,6 @@ def dedup_md5(spark, sf_dir):
 # ---------------------------------------------------------------- lexical statistics, text, time
 
 
-_TF = f"""select wikipedia_id, decile, term, count(*) n from (select wikipedia_id, decile, unnest(regexp_extract_all(lower(text), '{TOKEN}')) term from dec) group by all"""
-_VOC = "select term, count(*) df, ln((1 + (select count(*) from dec)) / (1.0 + count(*))) + 1 idf from tfs group by term having count(*) >= 2"
-_WGT = "select *, raw / sqrt(sum(raw * raw) over (partition by wikipedia_id)) weight from (select t.wikipedia_id, t.decile, t.term, idf, 1 + ln(n) sub, (1 + ln(n)) * idf raw from tfs t join voc using (term))"
-
-
-@query(
-    """select b.decile, b.n, mean_terms, std_terms, mean_idf, mean_length, mean_weight, mean_sublinear_tf, used / (select count(*) from voc)::double coverage from
-       (select decile, count(*) n, avg(coalesce(terms, 0)) mean_terms, coalesce(stddev_samp(coalesce(terms, 0)), 0) std_terms, avg(idf) mean_idf, avg(length(text)) mean_length
-          from dec left join (select wikipedia_id, count(*) terms, avg(idf) idf from wgt group by 1) using (wikipedia_id) group by decile) b
-       left join (select decile, avg(weight) mean_weight, avg(sub) mean_sublinear_tf, count(distinct term) used from wgt group by decile) using (decile)""",
-    "dec", d="mean_terms std_terms mean_idf mean_length mean_weight mean_sublinear_tf coverage", tfs=_TF, voc=_VOC, wgt=_WGT,
-)
-def tfidf_by_decile(spark, sf_dir):
-    docs = with_decile(spark, sf_dir, T.article(spark, sf_dir)).select("wikipedia_id", "decile", "text")
-    return tfidf.statistics(docs, tfidf.vocabulary(docs))
-
 
 @query(
     """select o.question_id, o.decile, n_terms, mean_df, mean_idf, max_idf, oov_rate, coalesce(b.i, 0) best_overlap_idf, coalesce(b.o, 0) best_overlap, coalesce(b.t, 0) best_tf_sum, coalesce(b.s, 0) best_sub_sum, coalesce(matching_chunks, 0) matching_chunks from
