@@ -121,13 +121,14 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     keys = docs.select("__id", "__h", F.length("text").alias("__n")).groupBy("__id", "__h").agg(F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__m"))
     order = before(keys)
 
-    rows = anchors(docs, "text", "fp").groupBy("__id", "__h").agg(F.first(F.struct("doc_id", "text", "fp")).alias("__r"))
-    rows = rows.join(order, ["__id", "__h"])
+    rows = docs.groupBy("__id", "__h").agg(F.first(F.struct("doc_id", "text")).alias("__r"))
+    # Anchors are looked for on both sides of the join: writing them beside the texts would take more disk than the texts.
+    rows = anchors(rows.join(order, ["__id", "__h"]), "__r.text", "fp")
     heads = rows.select(
         F.col("__pid").alias("__id"), F.col("__ph").alias("__h"),
-        F.expr("substring(__r.text, 1, cast(__pn div 4 as int))").alias("__head"), F.expr(f"transform({hashes('__r.fp')}, x -> cast(x - 2147483648L as int))").alias("__next"),
+        F.expr("substring(__r.text, 1, cast(__pn div 4 as int))").alias("__head"), F.expr(f"transform({hashes('fp')}, x -> cast(x - 2147483648L as int))").alias("__next"),
     )
-    rows = rows.select("__id", "__h", "__m", "__r").join(heads, ["__id", "__h"]).select("__r.*", "__m", "__head", F.expr("transform(__next, x -> x + 2147483648L)").alias("__next"))
+    rows = rows.select("__id", "__h", "__m", "__r", "fp").join(heads, ["__id", "__h"]).select("__r.*", "fp", "__m", "__head", F.expr("transform(__next, x -> x + 2147483648L)").alias("__next"))
     rows = rows.withColumns({"__n": F.length("text"), "__set": F.expr(hashes("fp"))})
     # Of repeated rows all but one are followed by their like
     copies = F.when(F.col("__m") > 1, F.array(F.struct(F.lit(1).cast("long").alias("times"), F.lit(False).alias("own")), F.struct((F.col("__m") - 1).alias("times"), F.lit(True).alias("own")))).otherwise(
