@@ -7,14 +7,13 @@ written as Parquet and read again, in the shared folder the cluster names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decilens.llm import langid, minhash_dedup, packing, queries, secrets, toxicity
-from decilens.llm._io import table
+from decilens.llm._io import shared_folder, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +51,23 @@ STAGES = [("toxicity", toxic), ("language", language), ("near_dedup", dedup), ("
 ORACLE_SQL = None
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="decilens-")
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another over ``documents``. What a stage wrote goes once the next one
+    has written; the last stage's input stays, as its rows are read after this returns."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+            path = f"{base}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                _gone(spark, before)
+            before = path
     return docs
