@@ -210,7 +210,7 @@ def frames_union(spark, sf_dir):
     return a.unionByName(b)
 
 
-_KNN = "select question_id, wikipedia_id, score from (select *, row_number() over (partition by question_id order by round(score, 9), wikipedia_id) rn from (select question_id, wikipedia_id, list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - v[i]) * (q[i] - v[i]))) score from vq, vc)) where rn <= 276"
+_KNN = "select question_id, wikipedia_id, score from (select *, row_number() over (partition by question_id order by round(score, 9), wikipedia_id) rn from (select question_id, wikipedia_id, list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - v[i]) * (q[i] - v[i]))) score from vq, vc where own <> wikipedia_id)) where rn <= 276"
 
 
 @query("select question_id, wikipedia_id, score, (rn - 1)::int doc_rank from (select *, row_number() over (partition by question_id order by round(score, 9), wikipedia_id) rn from near where wikipedia_id % 3 <> 0) where rn <= 10", d="score", vq=_VQ, vc=_VC, near=_KNN)
