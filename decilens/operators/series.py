@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decilens.functions import stats
+from decilens.operators.ordered import average_rank
 
 
 def year_over_year(yearly: DataFrame) -> DataFrame:
@@ -62,6 +63,5 @@ def monthly_average(daily: DataFrame) -> DataFrame:
 def signed_rank(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Wilcoxon's W of paired values: sums of the average ranks of absolute differences."""
     d = pairs.select((F.col(b) - F.col(a)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
-    rank = F.rank().over(W.orderBy("m")) + (F.count(F.lit(1)).over(W.partitionBy("m")) - 1) / F.lit(2.0)
-    r = d.withColumn("r", rank)
+    r = average_rank(d, "m", "r", ascending=True)
     return r.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n"))

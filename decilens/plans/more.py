@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from decilens import tables as T
 from decilens.functions import stats
 from decilens.functions import text as X
-from decilens.operators import cohort, deciles, metrics, series
+from decilens.operators import cohort, deciles, metrics, ordered, series
 from decilens.plans.ctes import TOKEN, decile_of
 from decilens.plans.queries import _H, enriched, matched, qdec, query, ranked, results, with_decile
 from decilens.sources import dumps, results as stored
@@ -73,7 +73,7 @@ def calendar_months(spark, sf_dir):
 
 @query("select id, ntile_ from (select id, ntile(5) over (order by popularity_avg, id) ntile_ from popularity)", "popularity")
 def rank_quintiles(spark, sf_dir):
-    return T.popularity(spark, sf_dir).select("id", F.ntile(5).over(W.orderBy("popularity_avg", "id")).cast("long").alias("ntile_"))
+    return ordered.quantile_groups(T.popularity(spark, sf_dir), 5, "popularity_avg", "id", out="ntile_").select("id", F.col("ntile_").cast("long").alias("ntile_"))
 
 
 @query(f"select wikipedia_id, {decile_of('popularity_avg').replace('>=', '>')} decile from article, edges", "article", "edges")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from decilens import tables as T
 from decilens.functions import stats
 from decilens.functions import text as X
-from decilens.operators import answers, bm25, cohort, deciles, dense, fusion, metrics, series, tfidf
+from decilens.operators import answers, bm25, cohort, deciles, dense, fusion, metrics, ordered, series, tfidf
 from decilens.plans.ctes import TOKEN, decile_of, ranked_cte, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +128,7 @@ def source_histogram(spark, sf_dir):
     "popularity", d="popularity_avg rank_avg",
 )
 def popularity_avg_rank(spark, sf_dir):
-    return T.popularity(spark, sf_dir).withColumn("rank_avg", stats.average_rank("popularity_avg"))
+    return ordered.average_rank(T.popularity(spark, sf_dir), "popularity_avg")
 
 
 @query("select unnest(range(0, 11))::int step, unnest(e) edge from edges", "edges", d="edge")
