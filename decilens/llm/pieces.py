@@ -4,13 +4,17 @@ No piece of the model has a white-space marker behind another character, so segm
 never crosses the place before a run of markers. A text is cut there (and around line
 feeds, where no piece holds one) into chunks: marked words.
 
-1. Texts are dealt to blocks of some megabytes. A block keeps, for each text, the places of
-   its chunks in the block's list of distinct chunks, and gives that list out, one row each.
-2. The lists are grouped by the bytes of the chunk: a table in which the library segments and
-   decodes each distinct chunk of the corpus once.
-3. The table is joined to the lists, and each block puts ids together by position.
-
-So words travel once a block, not once an occurrence, and no task holds the table.
+1. Texts are dealt to blocks of some megabytes. Each block sends its list of distinct chunks
+   to the parts of the table, by a hash of each chunk's bytes.
+2. A part of the table is a task: the library segments each distinct chunk that hashes to it
+   once for the whole corpus, and each block's list is answered in the list's order.
+3. A block keeps, for each text, the places of its chunks in the list, and puts the ids of the
+   answers together by position. Chunks mostly decode to themselves, and so do texts of such
+   chunks; the library decodes all others.
+
+So words travel once a block, packed and squeezed, not once an occurrence, and no task holds
+more than its part of the table. Lists and places are made in two passes over the texts, as
+writing both beside each other would take twice the disk.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +36,8 @@ from decilens.llm._io import cut, filled, plus, without
 MARK = "▁"
 #: Bytes of the texts of a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Parts of the table. A task holds one part at a time, with some 150 bytes for a distinct chunk.
+PARTS = 256
 
 
 class ChunkCodec:
@@ -59,17 +64,19 @@ class ChunkCodec:
         ids = self.library.encode(text, add_eos=True)
         return len(ids), " ".join(map(str, ids)).encode(), self.library.decode(ids).encode()
 
-    def segment(self, chunks: list[bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
-        """For each chunk the number of ids, the ids as text (each with a space behind it), and the
-        decoded text."""
-        ids = self.plain.encode([c.decode() for c in chunks], num_threads=1)
-        return [len(x) for x in ids], ["".join([f"{i} " for i in x]).encode() for x in ids], [t.encode() for t in self.plain.decode(ids, num_threads=1)]
-
-    def chunks(self, part: Slice) -> tuple[list[bytes], list]:
-        """The distinct chunks of a slice, and for each text the places of its chunks among them;
-        a text that cannot be cut has what ``whole`` says instead."""
+    def segment(self, chunks: list[bytes]) -> list[tuple[np.ndarray, bool]]:
+        """The ids of each chunk, and whether they decode to something else."""
+        texts = [c.decode() for c in chunks]
+        ids = self.plain.encode(texts, num_threads=1)
+        back = self.plain.decode(ids, num_threads=1)
+        return [(np.array(i, np.uint32), b != t) for i, b, t in zip(ids, back, texts, strict=True)]
+
+    def chunks(self, part: Slice, parts: int = 1) -> tuple[list[list[bytes]], list]:
+        """The distinct chunks of a slice, dealt to ``parts`` lists, and for each text the places of
+        its chunks in those lists behind each other; a text that cannot be cut has what ``whole``
+        says instead."""
         if not self.separable:
-            return [], [self.whole(part.text(i).decode()) for i in range(part.n)]
+            return [[] for _ in range(parts)], [self.whole(part.text(i).decode()) for i in range(part.n)]
         mark = MARK.encode()
         raw = part.buf.tobytes()
         odd = set()
@@ -95,21 +102,30 @@ class ChunkCodec:
         start = np.flatnonzero(edge)
         end = np.append(start[1:], n)[: len(start)]
         data = padded(buf)
-        _, one, code = np.unique(hashed(data, start, end), return_index=True, return_inverse=True)
+        keys = hashed(data, start, end)
+        _, one, code = np.unique(keys, return_index=True, return_inverse=True)
         wrong = np.flatnonzero(~same(data, start, end, data, start[one[code]], end[one[code]]))
         code[wrong] = len(one) + np.arange(len(wrong))  # equal hashes, other bytes: chunks of their own
         one = np.concatenate((one, wrong))
+        at = (keys[one] % np.uint64(parts)).astype(np.int64)
         made = buf.tobytes()
+        distinct = [made[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        # Lists in order of the bytes: neighbours share beginnings, which squeezes well
+        order = np.array(sorted(range(len(one)), key=lambda i: (at[i], distinct[i])), np.int64)
+        place = np.empty(len(one), np.uint32)
+        place[order] = np.arange(len(one))
+        code = place[code]
         first = np.searchsorted(start, off)
-        code = code.astype(np.uint16 if len(one) <= 1 << 16 else np.uint32)
         texts = [self.whole(part.text(i).decode()) if i in odd else code[first[i] : first[i + 1]] for i in range(part.n)]
-        return [made[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], texts
+        limits = np.searchsorted(at[order], np.arange(parts + 1)).tolist()
+        return [[distinct[i] for i in order[a:b].tolist()] for a, b in pairwise(limits)], texts
 
-    def join(self, places: np.ndarray, counts: np.ndarray, ids: list[bytes], texts: list[bytes]) -> tuple[int, bytes, bytes]:
-        """What ``whole`` says, from the segmented chunks of a block."""
-        own = places.tolist()
-        text = b"".join([texts[s] for s in own])
-        return int(counts[places].sum()) + 1, b"".join([ids[s] for s in own]) + str(self.eos).encode(), text[1:] if self.prefixed and own else text
+    def join(self, places: np.ndarray, n: np.ndarray, ids: list[bytes], other: np.ndarray, decoded: bool) -> tuple[int, bytes, bytes | None]:
+        """Of a text, number of ids and ids as text, from the answers to a block's list; and its
+        decoded text if it is asked for or not the text itself."""
+        listed = b"".join([ids[s] for s in places.tolist()]) + str(self.eos).encode()
+        back = self.library.decode([int(x) for x in listed.split()]).encode() if decoded or other[places].any() else None
+        return int(n[places].sum()) + 1, listed, back
 
 
 _codecs: dict[str, ChunkCodec] = {}
@@ -128,79 +144,142 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-_BLOCKS = "block long, slot int, chunk binary, n int, ids binary, decoded binary"
+def _squeezed(value: object) -> bytes:
+    raw = pickle.dumps(value, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _opened(value: bytes) -> object:
+    return pickle.loads(pa.Codec("zstd", 1).decompress(memoryview(value)[8:], int.from_bytes(value[:8], "little"), asbytes=True))
+
+
+def _packed(values: list[bytes]) -> tuple[np.ndarray, bytes]:
+    """Byte strings as their lengths and all bytes."""
+    return np.array([len(v) for v in values], np.uint32), b"".join(values)
+
+
+def _unpacked(packed: tuple[np.ndarray, bytes]) -> list[bytes]:
+    ends = np.cumsum(packed[0], dtype=np.int64).tolist()
+    return [packed[1][a:b] for a, b in pairwise([0, *ends])]
+
+
+def _planes(values: np.ndarray) -> list[bytes]:
+    """32-bit numbers byte by byte, all lowest bytes first; high bytes squeeze to little."""
+    return [values.astype("<u4").view(np.uint8)[i::4].tobytes() for i in range(4)]
 
 
-def _deal(path: str, at: int, kept: list[int]):
-    """Of each block a row (slot -1) with its texts' places and other columns in ``ids``, and a row
-    for each distinct chunk."""
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).copy().view("<u4").reshape(-1)
+
+
+_BLOCKS = "block long, part int, body binary"
+
+
+def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["block", "part", "body"])
+
+
+def _deal(path: str, at: int, kept: list[int], parts: int, lists: bool):
+    """Of each block either its distinct chunks, a row for each part of the table, or a row (part
+    -1) with its texts' places and other columns. The last column is the number of the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, block = codec(path), TaskContext.get().partitionId() << 32
-        squeeze = pa.Codec("zstd", 1)
+        coder, seen = codec(path), 0
         for batch in batches:
+            base = batch.columns[-1][0].as_py() << 32 if batch.num_rows else 0
             others = pa.RecordBatch.from_arrays([batch.column(i) for i in kept], [batch.schema.names[i] for i in kept])
             for part in slices(filled(batch.column(at)), BLOCK_BYTES):
-                chunks, texts = coder.chunks(part)
-                raw = pickle.dumps((_ipc(others.slice(part.first, part.n)), texts), protocol=5)
-                body = pickle.dumps((len(raw), squeeze.compress(raw, asbytes=True)))
-                n = len(chunks)
-                cols = [[block] * (n + 1), [-1, *range(n)], [None, *chunks], [None] * (n + 1), [body] + [None] * n, [None] * (n + 1)]
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "slot", "chunk", "n", "ids", "decoded"])
-                block += 1
+                chunks, texts = coder.chunks(part, parts)
+                block, seen = base + seen, seen + 1
+                if lists:
+                    yield _rows([(block, i, _squeezed(_packed(c))) for i, c in enumerate(chunks) if c])
+                else:
+                    places = [t for t in texts if not isinstance(t, tuple)]
+                    sizes = [-1 if isinstance(t, tuple) else len(t) for t in texts]
+                    digests = b"".join([hashlib.sha256(part.text(i)).digest() for i in range(part.n)])
+                    flat = _planes(np.concatenate([np.zeros(0, np.uint32), *places]))
+                    body = (_ipc(others.slice(part.first, part.n)), sizes, [t for t in texts if isinstance(t, tuple)], digests, flat)
+                    yield _rows([(block, -1, _squeezed(body))])
 
     return run
 
 
 def _segment(path: str):
+    """The lists of a part of the table, which follow each other, to their answers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, {}
         for batch in batches:
-            n, ids, texts = codec(path).segment(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["chunk", "n", "ids", "decoded"])
+            for block, part, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, table = part, {}
+                chunks = _unpacked(_opened(body))
+                new = [c for c in chunks if c not in table]
+                if new:
+                    table.update(zip(new, codec(path).segment(new), strict=True))
+                found = [table[c] for c in chunks]
+                answer = np.array([len(i) for i, _ in found], np.uint32), _planes(np.concatenate([i for i, _ in found])), np.packbits([o for _, o in found])
+                yield _rows([(block, part, _squeezed(answer))])
 
     return run
 
 
 def _assemble(path: str, names: list[str], ids: bool):
-    """Rows of ``_BLOCKS`` by block and slot, segmented, to the rows of the texts."""
+    """Of each block its places, then its answers by part, to the rows of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, squeeze = codec(path), pa.Codec("zstd", 1)
+        coder = codec(path)
+        word: dict[int, bytes] = {}
 
-        def texts_of(body: bytes, counts: list, listed: list, decoded: list) -> pa.RecordBatch:
-            size, raw = pickle.loads(body)
-            others, texts = pickle.loads(squeeze.decompress(raw, size, asbytes=True))
+        def texts_of(body: bytes, answers: list) -> pa.RecordBatch:
+            others, sizes, whole, digests, flat = _opened(body)
             (others,) = pa.ipc.open_stream(others)
-            counts = np.array(counts, np.int64)
-            found = [t if isinstance(t, tuple) else coder.join(t, counts, listed, decoded) for t in texts]
-            cols = [
-                pa.array([f[0] for f in found], pa.int64()),
-                *(pa.array([hashlib.sha256(f[i]).hexdigest() for f in found], pa.string()) for i in (1, 2)),
-            ]
-            if ids:
-                cols += [pa.array([[int(x) for x in f[1].split()] for f in found], pa.list_(pa.int32())), pa.array([f[2].decode() for f in found], pa.string())]
-            return pa.RecordBatch.from_arrays([*others.columns, *cols], names)
-
-        body, counts, listed, decoded = None, [], [], []
+            n = np.concatenate([np.zeros(0, np.int64), *(a[0] for a in answers)]).astype(np.int64)
+            all_ids = np.concatenate([np.zeros(0, np.uint32), *(_numbers(a[1]) for a in answers)]).tolist()
+            other = np.concatenate([np.zeros(0, bool), *(np.unpackbits(a[2], count=len(a[0])).astype(bool) for a in answers)])
+            for i in set(all_ids) - word.keys():
+                word[i] = b"%d " % i
+            written = [word[i] for i in all_ids]
+            listed = [b"".join(written[a:b]) for a, b in pairwise([0, *np.cumsum(n).tolist()])]
+            places, at, whole = _numbers(flat), 0, iter(whole)
+            found = []
+            for i, size in enumerate(sizes):
+                if size < 0:
+                    count, text, back = next(whole)
+                else:
+                    count, text, back = coder.join(places[at : at + size], n, listed, other, ids)
+                    at += size
+                digest = digests[32 * i : 32 * i + 32].hex() if back is None else hashlib.sha256(back).hexdigest()
+                found.append((count, hashlib.sha256(text).hexdigest(), digest, *(([int(x) for x in text.split()], back.decode()) if ids else ())))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 5 if ids else 3]
+            return pa.RecordBatch.from_arrays([*others.columns, *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names)
+
+        body, answers = None, []
         for batch in batches:
-            begins = set(np.flatnonzero(batch.column(1).to_numpy() == -1).tolist())
-            for a, b in pairwise(sorted({0, *begins, batch.num_rows})):
-                if a in begins:  # a new block
-                    if body is not None:
-                        yield texts_of(body, counts, listed, decoded)
-                    body, counts, listed, decoded = batch.column(4)[a].as_py(), [], [], []
-                    a += 1
-                counts += batch.column(3)[a:b].to_pylist()
-                listed += batch.column(4)[a:b].to_pylist()
-                decoded += batch.column(5)[a:b].to_pylist()
+            for part, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part >= 0:
+                    answers.append(_opened(value))
+                    continue
+                if body is not None:
+                    yield texts_of(body, answers)
+                body, answers = value, []
         if body is not None:
-            yield texts_of(body, counts, listed, decoded)
+            yield texts_of(body, answers)
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -> DataFrame:
+def _repeatable(docs: DataFrame) -> DataFrame:
+    """``docs`` as a plan that deals the same rows to the same tasks each time: a plan of more
+    than scans and projections is written first."""
+    plan = docs._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    narrow = plan.analyzed().deterministic() and not any(x in text for x in ("Exchange", "AdaptiveSparkPlan", "Python", "Arrow", "Sample"))
+    return docs if narrow else cut(docs)
+
+
+def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = False, parts: int = PARTS) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of ``text``; with ``ids``
     also the ids themselves and the decoded text.
 
@@ -215,10 +294,10 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
     schema = plus(StructType([docs.schema.fields[i] for i in kept]), n_tokens="long", ids_sha256="string", decoded_sha256="string")
     if ids:
         schema = plus(schema, ids="array<int>", decoded="string")
-    blocks = cut(docs.mapInArrow(_deal(path, at, kept), _BLOCKS))
-    lists = blocks.where("slot >= 0").select("block", "slot", "chunk")
-    table = lists.select("chunk").distinct().mapInArrow(_segment(path), "chunk binary, n int, ids binary, decoded binary")
-    known = lists.join(table, "chunk").select("block", "slot", "n", "ids", "decoded")
-    rows = blocks.where("slot = -1").select("block", "slot", "n", "ids", "decoded").union(known)
-    rows = rows.repartition("block").sortWithinPartitions("block", "slot").select("block", "slot", F.lit(None).cast("binary").alias("chunk"), "n", "ids", "decoded")
+    docs = _repeatable(docs)
+    # The number of the scan's own partition: a task's number is another one below the union
+    docs = docs.withColumn("__partition", F.spark_partition_id())
+    deal = lambda lists: docs.mapInArrow(_deal(path, at, kept, parts, lists), _BLOCKS)
+    answers = deal(True).repartition("part").sortWithinPartitions("part").mapInArrow(_segment(path), _BLOCKS)
+    rows = answers.union(deal(False)).repartition("block").sortWithinPartitions("block", "part")
     return rows.mapInArrow(_assemble(path, schema.names, ids), schema)
