@@ -109,3 +109,40 @@ def strip_markup(html: Column, depth: int = 6) -> Column:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"[ \t]+", " ")
     return F.trim(F.regexp_replace(out, r"\s*\n\s*", "\n"))
+
+
+#: The passes of wiki clean-up in their order, as (pattern, replacement, repeated);
+#: repeated ones run until nothing changes, here ``depth`` times.
+WIKI_PASSES = (
+    (r"(?s)<!--.*?-->", "", False),
+    (r"(?is)<ref[^>]*>.*?</ref>", "", False),
+    (r"(?i)<ref[^/]*/\s*>", "", False),
+    (r"(?s)<[^>]+>", "", False),
+    (r"\{\{[^{}]*\}\}", "", True),
+    (r"(?i)\[\[(?!(?:File|Image|Media):)([^\[\]|]*\|)?([^\[\]]+)\]\]", "$2", True),
+    (r"(?i)\[\[(?:File|Image|Media):[^\[\]]*\]\]", "", True),
+    (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1", False),
+    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1", False),
+    (r"\[https?://[^\]]+\]", "", False),
+    (r"'{2,3}", "", False),
+    (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1", False),
+    (r"(?im)^#REDIRECT.*$", "", False),
+    (r"(?m)^-{4,}\s*$", "", False),
+    (r"(?m)^\s*[|!].*$", "", False),
+    (r"(?m)^[;:*#]+\s*", "", False),
+    (r"\n{3,}", "\n\n", False),
+)
+
+
+def wiki_text(markup: Column, depth: int = 8) -> Column:
+    """Plain text of wiki markup; templates, links and file blocks are undone from the inside out,
+    down to ``depth`` levels."""
+
+    def passed(pattern: str, to: str):
+        return lambda t, _: F.regexp_replace(t, F.lit(pattern), F.lit(to))
+
+    out = markup
+    for pattern, to, repeated in WIKI_PASSES:
+        step = passed(pattern, to)
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), out, step) if repeated else step(out, None)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")

@@ -232,3 +232,34 @@ def exact_recall(spark, sf_dir):
 def question_split(spark, sf_dir):
     ids = _labels(spark, sf_dir).withColumn("question_id", F.concat(F.lit("q"), F.col("doc_id").cast("string")))
     return cohort.hash_split(ids).select(F.col("doc_id").alias("id"), "split")
+
+
+_MARKED_UP = (
+    "<!-- a\nb -->{{box|{{inner}}|x}}[[File:a.png|thumb|see [[the link|display]] and [[other]]]]\n'''Bold''' [[page|shown]] and [[plain]]<ref name=\"x\">note</ref><ref name=y />\n"
+    "== Head ==\n[http://x.org/a some words] [http://y.org]\n#REDIRECT [[x]]\n----\n| cell\n! head\n* item <b>tag</b>\n\n\n\n"
+)
+
+
+def _wiki_sql(raw: str) -> str:
+    """The passes in DuckDB, whose patterns cannot look ahead: openings of file blocks are masked."""
+    step = lambda t, p, r, f="g": f"regexp_replace({t}, '{p}', '{r}', '{f}')"
+    t = step(step(step(step(raw, "<!--.*?-->", "", "gs"), "<ref[^>]*>.*?</ref>", "", "gis"), r"<ref[^/]*/\s*>", "", "gi"), "<[^>]+>", "", "gs")
+    for _ in range(3):
+        t = step(t, r"\{\{[^{}]*\}\}", "")
+    t = step(t, r"\[\[((?:File|Image|Media):)", r"\x{1}\1", "gi").replace(r"\x{1}\1", "\x01\\1")
+    for _ in range(3):
+        t = step(t, r"\[\[([^\[\]\x01|]*\|)?([^\[\]\x01]+)\]\]", r"\2")
+    for _ in range(3):
+        t = step(t, r"\x01[^\[\]\x01]*\]\]", "")
+    for p, r in ((r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\]]+\]", ""), (r"''''{2,3}".replace("''''", "(?:'''')").replace("(?:''''){2,3}", "(?:''){2,3}"), "")):
+        t = step(t, p, r)
+    for p, r, f in ((r"^=+\s*(.*?)\s*=+\s*$", r"\1", "gm"), (r"^#REDIRECT.*$", "", "gim"), (r"^-{4,}\s*$", "", "gm"), (r"^\s*[|!].*$", "", "gm"), (r"^[;:*#]+\s*", "", "gm"), (r"\n{3,}", "\n\n", "g")):
+        t = step(t, f"(?{f.replace('g', '')}){p}" if f != "g" else p, r)
+    return step(t, r"^\s+|\s+$", "")
+
+
+@query(f"select conv_id, turn, md5({_wiki_sql('raw')}) h from (select conv_id, turn, '{_MARKED_UP.replace(chr(39), chr(39) * 2)}' || coalesce(text, '') raw from conversations)")
+def wiki_clean(spark, sf_dir):
+    turns = T.read(spark, sf_dir, "conversations")
+    raw = F.concat(F.lit(_MARKED_UP), F.coalesce("text", F.lit("")))
+    return turns.select("conv_id", "turn", F.md5(X.wiki_text(raw)).alias("h"))
