@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from decilens import tables as T
 from decilens.functions import stats
 from decilens.functions import text as X
-from decilens.operators import answers, bm25, cohort, deciles, metrics, planning, sampling, series, shaping, tfidf
-from decilens.plans.ctes import TOKEN, decile_of, terms_of
+from decilens.operators import answers, bm25, cohort, deciles, metrics, models, planning, sampling, series, shaping, tfidf
+from decilens.plans.ctes import TOKEN, decile_of, ranked_cte, terms_of
 from decilens.plans.queries import _H, _M, _MATCHED, _SEM, enriched, edges, index, matched, qdec, query, ranked, ranks, results, with_decile
 
 # ---------------------------------------------------------------- terms
@@ -453,3 +453,45 @@ def both_deciles(spark, sf_dir):
     art = T.article(spark, sf_dir).withColumn("n_chunks", X.n_fixed_chunks(F.col("text")).cast("long"))
     one = deciles.assign(art, deciles.edges(art), out="decile_unweighted")
     return deciles.assign(one, deciles.edges(art, weight="n_chunks"), out="decile_chunk_weighted").select("wikipedia_id", "decile_unweighted", "decile_chunk_weighted")
+
+
+@query("select r.question_id, r.doc_rank, r.wikipedia_id, a.wikipedia_title, r.score from ranked r join article a using (wikipedia_id) where r.doc_rank < 3", "ranked", "article", d="score")
+def nearest_articles(spark, sf_dir):
+    return bm25.nearest(index(spark, sf_dir), T.question(spark, sf_dir), T.article(spark, sf_dir), 3)
+
+
+_ALL_SCORES = ranked_cte("bm25plus", 10**9)
+
+
+@query("select question_id, coalesce(max(score) filter (where a.wikipedia_id = q.wikipedia_id), 0) target_score from question q left join a using (question_id) group by 1", "question", "qterms", "terms", "postings", "lens", "totals", d="target_score", a=_ALL_SCORES)
+def own_article_scores(spark, sf_dir):
+    return bm25.target_scores(index(spark, sf_dir), T.question(spark, sf_dir))
+
+
+@query(
+    "select p.a question_1, p.b question_2, x.s score_1, y.s score_2, y.s - x.s delta from p join sc x on x.question_id = p.a join sc y on y.question_id = p.b",
+    "question", "qterms", "terms", "postings", "lens", "totals", d="score_1 score_2 delta", a=_ALL_SCORES,
+    sc="select question_id, coalesce(max(score) filter (where a.wikipedia_id = q.wikipedia_id), 0) s from question q left join a using (question_id) group by 1",
+    p="select a.question_id a, b.question_id b from question a join question b on b.wikipedia_id = a.wikipedia_id + 1",
+)
+def analogue_pairs(spark, sf_dir):
+    q = T.question(spark, sf_dir)
+    own = bm25.target_scores(index(spark, sf_dir), q)
+    next_ = q.select(F.col("question_id").alias("question_2"), (F.col("wikipedia_id") - 1).alias("wikipedia_id"))
+    pairs = q.select(F.col("question_id").alias("question_1"), "wikipedia_id").join(next_, "wikipedia_id").select("question_1", "question_2")
+    return bm25.analogue_scores(pairs, own, own)
+
+
+@query(
+    "select question_id, exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) p_plus, case when a >= b then 'plus' else 'lucene' end backend from (select question_id, (wikipedia_id % 7)::double a, (wikipedia_id % 5)::double b from question)",
+    "question", d="p_plus",
+)
+def softmax_route(spark, sf_dir):
+    v = F.array((F.col("wikipedia_id") % 7).cast("double"), (F.col("wikipedia_id") % 5).cast("double"))
+    return T.question(spark, sf_dir).select("question_id", F.get(models.softmax(v), F.lit(0)).alias("p_plus"), models.argmax(v, ["plus", "lucene"]).alias("backend"))
+
+
+@query()
+def hit_logit(spark, sf_dir):
+    rows = T.eval_result(spark, sf_dir).select(F.col("hit").cast("double").alias("hit"), F.log("popularity_avg").alias("log_popularity"), "score")
+    return models.logit(rows, "hit", "log_popularity", "score")

@@ -137,3 +137,45 @@ def test_answers_and_lists(spark):
 def test_wiki_text(spark):
     raw = "{{a|{{b}}}}[[File:x|[[in|shown]] cap]]Text [[p|q]] ''it''<ref>n</ref>\n== H ==\n----\n| row\n* item\n#REDIRECT [[z]]"
     assert spark.createDataFrame([(raw,)], "t string").select(X.wiki_text(F.col("t"))).first()[0] == "Text q it\nH\n\n\nitem".replace("\n\n\n", "\n\n")
+
+
+def test_stores(spark, tmp_path):
+    from decilens.sources import store
+
+    path = str(tmp_path / "s")
+    docs = store.DocStore(path)
+    docs.add(spark.createDataFrame([("a", "one"), ("b", "two")], "uid string, text string"))
+    docs.add(spark.createDataFrame([("a", "new")], "uid string, text string"))
+    docs.set_positions(spark.createDataFrame([(0, "a")], "position long, uid string"))
+    assert docs.stats(spark).first().asDict() == {"documents": 2, "versions": 3, "without_position": 1}
+    docs.set_positions(spark.createDataFrame([(1, "b")], "position long, uid string"), append=True)
+    found = docs.at(spark.createDataFrame([(0, 0.5), (1, 0.25), (7, 0.1)], "position long, score double"))
+    assert {r.position: r.text for r in found.collect()} == {0: "new", 1: "two"}
+    table = str(tmp_path / "t")
+    store.replace(spark.range(3), table)
+    store.replace(spark.read.parquet(table).where("id > 0"), table)  # reads what it replaces
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2]
+    answers = str(tmp_path / "a")
+    q = spark.createDataFrame([("x",), ("y",)], "question_id string")
+    assert store.unanswered(q, answers).count() == 2
+    store.save_answers(q.where("question_id = 'x'").withColumn("answer", F.lit("yes")), answers)
+    assert [r.question_id for r in store.unanswered(q, answers).collect()] == ["y"]
+    values = str(tmp_path / "v")
+    with pytest.raises(LookupError):
+        store.cached(spark, values)
+    assert store.cached(spark, values, lambda: {"edges": [1]}) == {"edges": [1]}
+    store.forget(values)
+    assert store.cached(spark, values, lambda: {"edges": [2]}) == {"edges": [1]}
+
+
+def test_handlers_and_logit(spark):
+    from decilens.functions import handlers
+    from decilens.operators import models
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id int, t string")
+    got = {r.id: (r.v, r.j) for r in df.select("id", handlers.embedded(F.col("t"), lambda: lambda ts: [[float(len(t))] for t in ts], 1).alias("v"), handlers.judged(F.col("t"), lambda: lambda ts: ['{"verdict": true}' if t == "ab" else "?" for t in ts]).alias("j")).collect()}
+    assert got == {1: ([2.0], True), 2: (None, False), 3: ([3.0], False)}
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(x, float(rng.random() < 1 / (1 + math.exp(-2 * x)))) for x in (rng.gauss(0, 1) for _ in range(2000))], "x double, y double")
+    found = {r.term: r.coefficient for r in models.logit(rows, "y", "x").collect()}
+    assert abs(found["x"] - 2) < 0.3 and abs(found["intercept"]) < 0.3
