@@ -63,10 +63,10 @@ one_event as (
   select p.lang, p.source, e.metric, e.adds / greatest(p.q[2], 1)::double step from picked p
   join (values ('symbols', 'word_chars', 1000::double), ('dup_lines', 'n_lines', 1000::double), ('repeats', 'n_words', 10000::double), ('word_length', 'n_words', 100::double)) e(metric, size, adds) on e.size = p.metric),
 room as (
-  select p.lang, p.source, p.metric, p.q[1] q1, p.q[3] q3, 3::double * greatest((p.q[3] - p.q[1])::double, e.step) room
+  select p.lang, p.source, p.metric, p.q[1] q1, p.q[3] q3, 3::double * greatest((p.q[3] - p.q[1])::double, e.step, (1::bigint << greatest(length(bin(p.q[3])) - 6, 0)::bigint)::double) room
   from picked p join one_event e on e.metric = p.metric and e.lang is not distinct from p.lang and e.source is not distinct from p.source),
 verdict as (
-  select e.doc_id, bool_and(coalesce(e.b between r.q1 - r.room and r.q3 + r.room, false)) ok from (select * from bucketed where metric not in ('word_chars', 'n_lines', 'n_words')) e
+  select e.doc_id, bool_and(coalesce(e.b between case when e.metric = 'word_length' then r.q1 - r.room else 0 end and r.q3 + r.room, false)) ok from (select * from bucketed where metric not in ('word_chars', 'n_lines', 'n_words')) e
   left join room r on r.metric = e.metric and r.lang is not distinct from e.lang and r.source is not distinct from e.source group by e.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok kept from judged join verdict using (doc_id)
 """

@@ -34,6 +34,7 @@ METRICS = {
     "repeats": ("n_repeat_words", "n_words", 1000, 2 * WIDTH),
     "word_length": ("word_chars", "n_words", 100, 1),
 }
+TWO_SIDED = ("word_length",)
 SIZES = ("word_chars", "n_lines", "n_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -119,9 +120,14 @@ def _metric(name: str):
     return F.expr(f"if({den} > 0, ({num} * {scale}) div {den}, 0)")
 
 
+def _shift(value):
+    """How many low bits a bucket leaves open."""
+    return F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+
+
 def bucket(value):
     """The low end of the bucket that holds a value >= 0: five bits after the leading one."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    shift = _shift(value)
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
@@ -138,7 +144,8 @@ def limits(sketched: DataFrame, min_rows: int, spread: float) -> DataFrame:
 
     The quartiles of the smallest group with ``min_rows`` rows around a (lang, source), itself,
     its language or the corpus, are stretched by ``spread`` times their distance, or, if that
-    is less, times what one event adds to the metric of a text of the group's median size.
+    is less, times what one event adds to the metric of a text of the group's median size, or
+    the width of the upper quartile's bucket.
     """
 
     def quartiles(by: list[str], tag: str) -> DataFrame:
@@ -161,8 +168,11 @@ def limits(sketched: DataFrame, min_rows: int, spread: float) -> DataFrame:
     w = W.partitionBy("lang", "source")
     median = {c: F.greatest(F.max(F.when(F.col("metric") == c, F.col("q2"))).over(w), F.lit(1)) for c in SIZES}
     event = F.coalesce(*[F.when(F.col("metric") == m, F.lit(float(unit * scale)) / median[den]) for m, (_, den, scale, unit) in METRICS.items()])
-    out = out.withColumn("room", spread * F.greatest((F.col("q3") - F.col("q1")).cast("double"), event)).where(F.col("metric").isin(*METRICS))
-    return out.select("lang", "source", "metric", (F.col("q1") - F.col("room")).alias("low"), (F.col("q3") + F.col("room")).alias("high"))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), _shift(F.col("q3"))).cast("double")
+    out = out.withColumn("room", spread * F.greatest((F.col("q3") - F.col("q1")).cast("double"), event, width)).where(F.col("metric").isin(*METRICS))
+    # Fewer symbols or repeats than a source is used to are no fault
+    low = F.when(F.col("metric").isin(*TWO_SIDED), F.col("q1") - F.col("room")).otherwise(F.lit(0.0))
+    return out.select("lang", "source", "metric", low.alias("low"), (F.col("q3") + F.col("room")).alias("high"))
 
 
 def quality_rules(docs: DataFrame, min_rows: int = 100, spread: float = 3.0, min_words: int = 10, max_repeat_pct: int = 20, text: bool = True) -> DataFrame:

@@ -7,8 +7,7 @@ and per step, favours the random model is a secret. Everything runs as DataFrame
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,22 +79,26 @@ def _pairs(samples: DataFrame, text: str) -> DataFrame:
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """``samples(sample, is_random)`` to the log-likelihood ratio of each step (a, b), row-major.
 
-    What comes to the driver has at most 2 * 67**2 rows.
+    A step's share is drawn towards how often its second character follows any other, by
+    ``smoothing`` counts for each character: after characters that ordinary samples hardly have,
+    digits say, the ratio still tells. What comes to the driver has at most 2 * 67**2 rows.
     """
-    counts = {(r.is_random, r.a, r.b): r.n for r in _pairs(samples, "sample").groupBy("is_random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = []
-    for a in range(SIZE):
-        row = {k: [counts.get((k, a, b), 0) + smoothing for b in range(SIZE)] for k in (True, False)}
-        total = {k: sum(v) for k, v in row.items()}
-        table += [math.log(row[True][b] / total[True]) - math.log(row[False][b] / total[False]) for b in range(SIZE)]
-    return table
+    counts = {k: np.zeros((SIZE, SIZE)) for k in (True, False)}
+    for r in _pairs(samples, "sample").groupBy("is_random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.is_random][r.a, r.b] = r.n
+    logs = {}
+    for k, n in counts.items():
+        second = (n.sum(0) + smoothing) / (n.sum() + smoothing * SIZE)
+        logs[k] = np.log((n + smoothing * SIZE * second) / (n.sum(1, keepdims=True) + smoothing * SIZE))
+    return (logs[True] - logs[False]).ravel().tolist()
 
 
 def default_samples(docs: DataFrame, text: str = "text", max_docs: int = 2000, generated: int = 3000) -> DataFrame:
     """Labelled samples (sample, is_random) for ``train``.
 
-    Ordinary: the words of about ``max_docs`` documents, taken by a hash of the text so that
-    the choice is the same every time; base secrets are left out. Random: values of the base
+    Ordinary: the words that two texts of about ``max_docs`` documents hold, taken by a hash of
+    the text so that the choice is the same every time; a random string hardly comes twice, and
+    base secrets are left out. Random: values of the base
     patterns in those documents, and ``generated`` digests in three usual alphabets.
     """
     total = max(1, docs.count())
@@ -106,7 +109,8 @@ def default_samples(docs: DataFrame, text: str = "text", max_docs: int = 2000, g
     for _, p, _, _ in BASE[:2]:
         bare = F.regexp_replace(bare, p, " ")
     bare = F.regexp_replace(bare, r"[0-9a-f]{24,}", " ")
-    words = some.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9_+/=-]{4,}"), F.lit(0))).alias("sample")).distinct().withColumn("is_random", F.lit(False))
+    each = some.distinct().select(F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9_+/=-]{4,}"), F.lit(0)))).alias("sample"))
+    words = each.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sample", F.lit(False).alias("is_random"))
     found = some.select(F.explode(values).alias("sample")).where("length(sample) >= 20").distinct().withColumn("is_random", F.lit(True))
     made = docs.sparkSession.range(generated).select(
         F.explode(

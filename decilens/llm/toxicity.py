@@ -2,8 +2,9 @@
 
 A logistic model over which words and word beginnings a text holds. Weights are not
 negative and sparse, so a text counts as toxic for what it says, however long it is. For
-labelled texts that name a group of people, each name is swapped for another one of its kind
-and changes of the score are penalised, so a neutral mention of a group has no weight.
+labelled texts that name a group of people, each name is swapped for another one of its kind,
+and for none, and changes of the score are penalised: the first makes the names of a kind weigh
+alike, the second makes them weigh little, so a neutral mention of a group is no offence.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ _SWAP = {w: ws[(i + 1) % len(ws)] for ws in (g.split() for g in IDENTITY) for i,
 _IDENTITY = re.compile(r"\b(" + "|".join(sorted(_SWAP, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
-def swapped(text: str) -> str | None:
-    """``text`` with each group term replaced by the next of its kind; None without any."""
-    out, n = _IDENTITY.subn(lambda m: _SWAP.get(m[0].lower(), m[0]), text)
+def swapped(text: str, name: bool = True) -> str | None:
+    """``text`` with each group term replaced by the next of its kind, or left out; None without any."""
+    out, n = _IDENTITY.subn(lambda m: _SWAP.get(m[0].lower(), m[0]) if name else " ", text)
     return out if n else None
 
 
@@ -81,7 +82,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _vectors(chosen: np.ndarray):
-    """Of each labelled text the chosen features, and those of its counterfactual."""
+    """Of each labelled text the chosen features, and those of its counterfactuals, if it has any."""
 
     def places(h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(chosen, h)
@@ -93,10 +94,10 @@ def _vectors(chosen: np.ndarray):
             texts = filled(batch.column(1)).to_pylist()
             other = [swapped(t) for t in texts]
             changed = iter(of([t for t in other if t is not None]))
+            without = iter(of([swapped(t, False) for t, o in zip(texts, other, strict=True) if o is not None]))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(of(texts), kind), pa.array([None if t is None else next(changed) for t in other], kind)], ["toxic", "x", "other"]
-            )
+            pairs = [None if t is None else [next(changed), next(without)] for t in other]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of(texts), kind), pa.array(pairs, pa.list_(kind))], ["toxic", "x", "others"])
 
     return run
 
@@ -119,7 +120,7 @@ def _fit(rows: list, n: int, l1: float, counterfactual: float, rounds: int) -> t
         return np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
     y = np.array([r[0] for r in rows], float)
-    pairs = [(r[1], r[2]) for r in rows if r[2] is not None]
+    pairs = [(r[1], other) for r in rows if r[2] is not None for other in r[2]]
     of_text, of_pair, of_swap = sparse([r[1] for r in rows]), sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
     share = y.mean() if len(y) else 0.0
     c = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / max(len(y), 1)
@@ -181,7 +182,7 @@ def train(labelled: DataFrame, least: int = 3, l1: float = 5e-4, counterfactual:
     df = sample.mapInArrow(_document_frequencies, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     telling = df.where((F.col("pos") >= least) & (F.col("pos") * neg > 2 * F.col("neg") * pos))
     chosen = np.sort(np.array([r[0] for r in telling.select("feature").collect()], np.int64).view(np.uint64))
-    rows = [(r.toxic, r.x, r.other) for r in sample.mapInArrow(_vectors(chosen), "toxic int, x array<int>, other array<int>").collect()]
+    rows = [(r.toxic, r.x, r.others) for r in sample.mapInArrow(_vectors(chosen), "toxic int, x array<int>, others array<array<int>>").collect()]
     w, bias = _fit(rows, len(chosen), l1, counterfactual, rounds)
     return Model(chosen[w > 0], w[w > 0], float(bias))
 

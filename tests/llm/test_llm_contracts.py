@@ -92,10 +92,11 @@ def test_a_slot_with_other_bytes_is_not_believed(monkeypatch):
     monkeypatch.setattr(pieces, "hashed", nothing)
     codec = pieces.ChunkCodec(public_tokenizers.path("piece_bpe_32k.model"))
     for part in slices(texts):
-        chunks, places = codec.chunks(part)
-        n, ids, decoded = codec.segment(chunks)
+        lists, places = codec.chunks(part, 3)
+        found = codec.segment([c for chunks in lists for c in chunks])
+        ids = [b"".join(b"%d " % i for i in x) for x, _ in found]
         for i in range(part.n):
-            assert codec.join(places[i], np.array(n), ids, decoded) == codec.whole(part.text(i).decode())
+            assert codec.join(places[i], np.array([len(x) for x, _ in found]), ids, np.zeros(len(ids), bool), True) == codec.whole(part.text(i).decode())
 
 
 def test_a_tokenizer_with_other_rules_is_used_whole():
@@ -200,7 +201,7 @@ def test_limits_follow_the_habits_of_a_source(spark):
         again = lines[:1] if long else []
         if outlier == "repeats":
             again = [" ".join(w + "q" * (k == 0) for k, w in enumerate(lines[n].split())) for n in (0, 1)]
-        return "\n".join(lines + again + footer) + " " + "# " * symbols
+        return "\n".join(lines + again + footer) + " " + "#" * symbols
 
     data, odd = [], {}
     for s, source in enumerate(("long", "short")):
@@ -250,8 +251,8 @@ def test_the_penalty_takes_the_weight_of_group_names(spark):
     for penalty in (0.0, 1.0):
         model = toxicity.train(data, counterfactual=penalty)
         scores[penalty] = {r.doc_id: r.score for r in toxicity.score(neutral, model).collect()}
-    assert scores[0.0][1] > 0.6 and scores[0.0][2] > 0.6  # without it the names carry the label
-    assert scores[1.0][1] < 0.5 and scores[1.0][2] < 0.5 and scores[1.0][3] > 0.9
+    assert scores[0.0][1] > 0.5 and scores[0.0][2] > 0.5  # without it the names carry the label
+    assert scores[1.0][1] < 0.3 and scores[1.0][2] < 0.3 and scores[1.0][3] > 0.9
 
 
 def test_rows_of_the_fit(spark):
