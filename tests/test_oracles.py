@@ -12,7 +12,9 @@ QUERIES, ORACLES = all_queries()
 QUICK = (
     "pageviews_by_page popularity_avg_rank decile_boundaries_chunk_weighted decile_assignment yoy_delta decile_transition fixed_chunks calendar_months "
     "bm25l_topk score_competition knn_cosine_topk ivf_probe_recall rrf_weighted disagreement accuracy_rollup balance_fill balance_cap "
-    "tfidf_by_decile lexical_factors binned_curve latency_merge dedup_md5 wilcoxon"
+    "tfidf_by_decile lexical_factors binned_curve latency_merge dedup_md5 wilcoxon "
+    "tfidf_trend factor_summary title_anchor paired_delta answer_agreement cut_log_bins hard_mrr popularity_route mock_retrieval own_article_scores "
+    "parsed_aliases parsed_id_lists metadata_columns normalised_results single_query_metrics dense_with_store wiki_clean question_split"
 ).split()
 
 
