@@ -75,9 +75,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         for label in (0, 1):
             rows = batch.filter(pc.equal(batch.column(0), label))
-            seen = [h for part in slices(filled(rows.column(1))) for h in _distinct(part)]
-            if seen:
-                h, n = np.unique(np.concatenate(seen), return_counts=True)
+            for part in slices(filled(rows.column(1))):  # a slice at a time: a batch has a hundred times the features
+                h, n = np.unique(np.concatenate(list(_distinct(part))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n * (label == 1)), pa.array(n * (label == 0))], ["feature", "pos", "neg"])
 
 
