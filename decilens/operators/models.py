@@ -22,9 +22,11 @@ def argmax(values: Column, names: list[str]) -> Column:
 def logit(rows: DataFrame, outcome: str, *features: str) -> DataFrame:
     """(term, coefficient, se, p) of a logistic model of a 0/1 outcome; the intercept comes last.
     Rows with a null are left out."""
-    known = rows.select(F.col(outcome).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(known)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="label", maxIter=50).fit(data)
+    # Columns by their place: a feature may have the name of one that the model adds.
+    places = [f"f{i}" for i in range(len(features))]
+    known = rows.select(F.col(outcome).cast("double").alias("label"), *[F.col(f).cast("double").alias(p) for f, p in zip(features, places, strict=True)]).dropna()
+    data = VectorAssembler(inputCols=places, outputCol="features").transform(known)
+    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label", maxIter=50).fit(data)
     s = model.summary
     found = zip([*features, "intercept"], [*model.coefficients, model.intercept], s.coefficientStandardErrors, s.pValues, strict=True)
     return rows.sparkSession.createDataFrame([(t, float(c), float(e), float(p)) for t, c, e, p in found], "term string, coefficient double, se double, p double")

@@ -179,3 +179,15 @@ def test_handlers_and_logit(spark):
     rows = spark.createDataFrame([(x, float(rng.random() < 1 / (1 + math.exp(-2 * x)))) for x in (rng.gauss(0, 1) for _ in range(2000))], "x double, y double")
     found = {r.term: r.coefficient for r in models.logit(rows, "y", "x").collect()}
     assert abs(found["x"] - 2) < 0.3 and abs(found["intercept"]) < 0.3
+
+
+def test_logit_features_may_have_any_name(spark):
+    from decilens.operators import models
+
+    rng = random.Random(9)
+    rows = [(a, b, float(rng.random() < 1 / (1 + math.exp(b - 2 * a)))) for a, b in ((rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(3000))]
+    plain = [r[1:] for r in models.logit(spark.createDataFrame(rows, "p double, q double, y double"), "y", "p", "q").collect()]
+    assert abs(plain[0][0] - 2) < 0.3 and abs(plain[1][0] + 1) < 0.3
+    for names in (("x", "label"), ("features", "prediction"), ("f1", "f0")):
+        got = models.logit(spark.createDataFrame(rows, f"{names[0]} double, {names[1]} double, y double"), "y", *names).collect()
+        assert [r.term for r in got] == [*names, "intercept"] and [r[1:] for r in got] == plain
