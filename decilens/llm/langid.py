@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decilens.llm._bytes import LETTER, LOWER, Slice, slices
-from decilens.llm._io import filled, plus, without
+from decilens.llm._io import filled, plus, releasing, without
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -65,7 +65,7 @@ class Model:
 def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
     """``labelled(lang, text)``, lang not null. What comes to the driver has at most 65536
     rows for each language."""
-    counts = labelled.select(F.col("lang").cast("string"), "text").where("text is not null").mapInArrow(_count, "lang string, bucket int, n long")
+    counts = labelled.select(F.col("lang").cast("string"), "text").where("text is not null").mapInArrow(releasing(_count), "lang string, bucket int, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((BUCKETS, len(langs)), smoothing)
@@ -187,4 +187,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8,
                 new, names = [*new, pa.array(good, pa.bool_())], [*names, "fits"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, plus(docs.schema, lang_pred="string", score="double", lang_set="string", **({"fits": "boolean"} if fit else {})))
+    return docs.mapInArrow(releasing(run), plus(docs.schema, lang_pred="string", score="double", lang_set="string", **({"fits": "boolean"} if fit else {})))

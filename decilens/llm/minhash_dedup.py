@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decilens.llm._io import cut, filled, hot_keys, spread
+from decilens.llm._io import cut, filled, hot_keys, releasing, spread
 from decilens.llm.components import connected_components
 from decilens.llm.shingles import shingle_sets
 
@@ -256,7 +256,7 @@ def _links(pairs: DataFrame, hot: DataFrame, sigs: DataFrame, docs: DataFrame, w
         spread(pairs, sigs.select(F.col("node").alias("leader"), F.col("sig").alias("s1")), ["leader"], hot, "node")
         .join(sigs.select("node", F.col("sig").alias("s2")), "node")
         .select("leader", "node", "s1", "s2")
-        .mapInArrow(_prune(limits), "leader long, node long")
+        .mapInArrow(releasing(_prune(limits)), "leader long, node long")
     )
     held = cut(held)
     counts = _counts(held, "leader")
@@ -273,7 +273,7 @@ def _links(pairs: DataFrame, hot: DataFrame, sigs: DataFrame, docs: DataFrame, w
         .repartition("leader", "part")
         .sortWithinPartitions("leader", "part", F.col("node") != F.col("leader"))
     )
-    return rows.mapInArrow(_verify(width, num, den), "a long, b long")
+    return rows.mapInArrow(releasing(_verify(width, num, den)), "a long, b long")
 
 
 def _rest(first: DataFrame, hot: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, limits) -> DataFrame:
@@ -291,7 +291,7 @@ def _rest(first: DataFrame, hot: DataFrame, labels: DataFrame, sigs: DataFrame,
     keys = ["leader", "bi", "bj", "other", "node", "component"]
     blocks = lambda rows, *last: rows.select(*keys, "sig", *last).repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj", "other")
     kinds = "leader long, bi long, bj long, other boolean, node long, component long"
-    left = cut(blocks(one.union(two).join(sigs, "node")).mapInArrow(_survivors(limits), kinds))
+    left = cut(blocks(one.union(two).join(sigs, "node")).mapInArrow(releasing(_survivors(limits)), kinds))
     texts = docs.select(F.col("doc_id").alias("node"), "text")
     return blocks(left.join(sigs, "node").join(texts, "node"), "text")
 
@@ -311,7 +311,7 @@ def near_duplicates(
     num, den = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = bands * rows
-    sketches = cut(docs.mapInArrow(_sketches(width, n), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
+    sketches = cut(docs.mapInArrow(releasing(_sketches(width, n)), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
     full = sketches.where("doc_id is not null and n_shingles > 0")
     sets = ["n_shingles", "set_a", "set_b"]
     nodes = full.groupBy(*sets).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
@@ -329,7 +329,7 @@ def near_duplicates(
     limits = least_matches(n, BATCH, num / den, miss)
     hot = hot_keys(_counts(first, "leader"), first.count())
     links = cut(_links(first, hot, sigs, docs, width, num, den, limits))
-    more = _rest(first, hot, connected_components(links), sigs, docs, limits).mapInArrow(_blocks(width, num, den, limits), "a long, b long")
+    more = _rest(first, hot, connected_components(links), sigs, docs, limits).mapInArrow(releasing(_blocks(width, num, den, limits)), "a long, b long")
 
     joined = connected_components(links.union(more).union(same))
     return (

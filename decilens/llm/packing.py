@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decilens.llm._bytes import LOWER, Slice, hashed, padded, same, slices
-from decilens.llm._io import cut, filled, without
+from decilens.llm._io import cut, filled, releasing, without
 
 WINDOW = 4096
 #: Pieces numbered within one task.
@@ -223,7 +223,7 @@ def _pieces(path: str, end_id: int, window: int):
 def token_pieces(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
     """``docs(doc_id, text)`` to pieces of at most ``window`` ids: all full but a document's last."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_pieces(path, end_id, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return slim.mapInArrow(releasing(_pieces(path, end_id, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 # ---------------------------------------------------------------- the plan
@@ -310,7 +310,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     numbered = dealt.withColumn("__at", F.row_number().over(w.orderBy("doc_id", "start", "ids_crc32"))).join(before, ["length", "__block"])
     ranked = numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__base") + F.col("__at") - 1).cast("long").alias("rank"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.mapInArrow(_placed(plan(histogram, window)), schema)
+    return ranked.mapInArrow(releasing(_placed(plan(histogram, window))), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decilens.llm._bytes import LETTER, LOWER, Slice, hashed, slices
-from decilens.llm._io import cut, filled, plus, without
+from decilens.llm._io import cut, filled, plus, releasing, without
 
 #: Terms that name groups, by kind; a term is swapped within its kind.
 IDENTITY = (
@@ -178,10 +178,10 @@ def train(labelled: DataFrame, least: int = 3, l1: float = 5e-4, counterfactual:
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
-    df = sample.mapInArrow(_document_frequencies, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    df = sample.mapInArrow(releasing(_document_frequencies), "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     telling = df.where((F.col("pos") >= least) & (F.col("pos") * neg > 2 * F.col("neg") * pos))
     chosen = np.sort(np.array([r[0] for r in telling.select("feature").collect()], np.int64).view(np.uint64))
-    rows = [(r.toxic, r.x, r.others) for r in sample.mapInArrow(_vectors(chosen), "toxic int, x array<int>, others array<array<int>>").collect()]
+    rows = [(r.toxic, r.x, r.others) for r in sample.mapInArrow(releasing(_vectors(chosen)), "toxic int, x array<int>, others array<array<int>>").collect()]
     w, bias = _fit(rows, len(chosen), l1, counterfactual, rounds)
     return Model(chosen[w > 0], w[w > 0], float(bias))
 
@@ -226,4 +226,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, plus(docs.schema, score="double", predicted="int"))
+    return docs.mapInArrow(releasing(run), plus(docs.schema, score="double", predicted="int"))

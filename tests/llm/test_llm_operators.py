@@ -377,3 +377,26 @@ def test_next_document_is_found_across_ranges_and_copies(spark):
     copies = spark.createDataFrame([(1, "abcdefgh")] * 3 + [(None, None), (None, None), (2, "12345678")], "doc_id long, text string")
     got = Counter((r.doc_id, r.edited, r.near_next == 1) for r in syncmers.fingerprints(copies).collect())
     assert got == {(1, "abcdefab", True): 2, (1, "abcdef12", False): 1, (2, "123456", False): 1, (None, "", True): 1, (None, "", False): 1}
+
+
+def test_workers_give_back_what_a_task_freed():
+    import pyarrow as pa
+
+    from decilens.llm._io import releasing
+
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [np.ones(12_000) for _ in range(3000)]  # 288 MB of the heap, freed but for a few blocks between
+            kept.extend(blocks[::100])
+            yield batch
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    batch = pa.record_batch([pa.array([1, 2])], ["x"])
+    before = resident()
+    assert [b.num_rows for b in releasing(run)(iter([batch, batch]))] == [2, 2]
+    assert resident() - before < 100
