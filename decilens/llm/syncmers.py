@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decilens.llm._io import cut
+from decilens.llm._io import cut, hot_keys
 
 K, S = 24, 8
 #: Inner runs of a k-mer stand at places 0 to SPAN. Doubling covers SPAN of them; S divides SPAN and K.
@@ -84,24 +84,37 @@ def passages(prints: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
     return found.where(F.col("anchors") >= least)
 
 
-def before(keys: DataFrame) -> DataFrame:
-    """``keys(__id, __h, __n, __m)``, one row a key, with __pid, __ph and __pn of the key before it
-    in order of (__id, __h); before the first stands the last.
+def ranged(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, __id, __h)`` as one row for each key (__id, __h), with its number __m of
+    rows, dealt to ranges of keys: in each __range in order of (__end, __id, __h) the next row is
+    the next key, as the first row of the next range stands, marked __end, behind the last; the
+    range after the last is the first.
 
-    Keys are dealt to ranges, by bounds that Spark takes from the keys themselves, and look back
-    within their range; the first of a range takes the last of the range before, from a table
-    with one row for each range.
+    The bounds of the ranges, one a partition, are keys that Spark takes from the keys alone; each
+    row looks its range up in them. Texts are shuffled once. Keys of many rows become one row
+    before that; there are at most ``HOT_KEYS`` of them.
     """
-    # Written first: the number of a range is only known where its rows lie.
-    rows = cut(keys.repartitionByRange("__id", "__h").withColumn("__range", F.spark_partition_id()))
-    w = W.partitionBy("__range").orderBy("__id", "__h")
-    key = F.struct("__id", "__h", "__n")
-    ends = rows.groupBy("__range").agg(F.max(key).alias("__last"))
-    order = W.partitionBy(F.lit(0)).orderBy("__range")  # one row for each range
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends = ends.select("__range", F.coalesce(F.lag("__last").over(order), F.last("__last").over(whole)).alias("__edge"))
-    rows = rows.withColumn("__prev", F.lag(key).over(w)).join(ends, "__range").withColumn("__prev", F.coalesce("__prev", "__edge"))
-    return rows.select("__id", "__h", "__m", *[F.col(f"__prev.__{c}").alias(f"__p{c}") for c in ("id", "h", "n")])
+    keys = ["__id", "__h"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    firsts = counts.repartitionByRange(n, *keys).groupBy(F.spark_partition_id().alias("__range")).agg(F.min(F.struct(*keys)).alias("__first"))
+    bounds = F.broadcast(firsts.agg(F.array_sort(F.collect_list("__first")).alias("__bounds")))  # one key for each range
+
+    rows = docs.withColumn("__m", F.lit(1).cast("long"))
+    hot = hot_keys(counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select(*keys)
+    if hot.head(1):
+        many = docs.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.first(F.struct("doc_id", "text")).alias("__r"), F.count(F.lit(1)).alias("__m"))
+        rows = rows.join(F.broadcast(hot), keys, "left_anti").select("doc_id", "text", *keys, "__m").union(many.select("__r.*", *keys, "__m"))
+    key = "named_struct('__id', __id, '__h', __h)"
+    steps = ", ".join(str(1 << i) for i in reversed(range(n.bit_length())))
+    place = f"aggregate(array({steps}), 0, (a, d) -> if(a + d < size(__bounds) and get(__bounds, a + d) <= {key}, a + d, a))"  # of the last bound up to the key
+    own = "named_struct('range', __at, 'end', false)"
+    before = "named_struct('range', pmod(__at - 1, size(__bounds)), 'end', true)"
+    rows = rows.crossJoin(bounds).withColumn("__at", F.expr(place))
+    rows = rows.withColumn("__to", F.explode(F.expr(f"if(get(__bounds, __at) = {key}, array({own}, {before}), array({own}))")))
+    rows = rows.select("doc_id", "text", *keys, "__m", F.col("__to.range").alias("__range"), F.col("__to.end").alias("__end")).repartitionById(n, F.col("__range"))
+    rows = rows.groupBy("__range", "__end", *keys).agg(F.first(F.struct("doc_id", "text")).alias("__r"), F.sum("__m").alias("__m"))
+    return rows.select("__range", "__end", *keys, "__m", "__r.*")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,23 +126,15 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     of their text, and of rows with the same doc_id and text all but the last are followed by
     their like. Null texts count as empty. Other columns are ignored.
 
-    Texts are shuffled once, by their key; the head of each text, as long as the document
-    before it needs, and its anchor hashes travel to that document.
+    Texts are shuffled once, to ranges of keys; anchors of a text are looked for once, and a
+    document takes the head and the anchor hashes of the next one from the row behind it.
     """
     docs = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__h": F.xxhash64("doc_id", "text")})
-    keys = docs.select("__id", "__h", F.length("text").alias("__n")).groupBy("__id", "__h").agg(F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__m"))
-    order = before(keys)
-
-    rows = docs.groupBy("__id", "__h").agg(F.first(F.struct("doc_id", "text")).alias("__r"))
-    # Anchors are looked for on both sides of the join: writing them beside the texts would take more disk than the texts.
-    rows = anchors(rows.join(order, ["__id", "__h"]), "__r.text", "fp")
-    heads = rows.select(
-        F.col("__pid").alias("__id"), F.col("__ph").alias("__h"),
-        F.expr("substring(__r.text, 1, cast(__pn div 4 as int))").alias("__head"), F.expr(f"transform({hashes('fp')}, x -> cast(x - 2147483648L as int))").alias("__next"),
-    )
-    rows = rows.select("__id", "__h", "__m", "__r", "fp").join(heads, ["__id", "__h"]).select("__r.*", "fp", "__m", "__head", F.expr("transform(__next, x -> x + 2147483648L)").alias("__next"))
-    rows = rows.withColumns({"__n": F.length("text"), "__set": F.expr(hashes("fp"))})
+    rows = anchors(ranged(docs), "text", "fp").withColumn("__set", F.expr(hashes("fp")))
+    following = W.partitionBy("__range").orderBy("__end", "__id", "__h")
+    rows = rows.withColumns({"__after": F.lead("text").over(following), "__next": F.lead("__set").over(following)}).where("not __end")
+    rows = rows.withColumn("__n", F.length("text")).withColumn("__head", F.expr("substring(__after, 1, cast(__n div 4 as int))"))
     # Of repeated rows all but one are followed by their like
     copies = F.when(F.col("__m") > 1, F.array(F.struct(F.lit(1).cast("long").alias("times"), F.lit(False).alias("own")), F.struct((F.col("__m") - 1).alias("times"), F.lit(True).alias("own")))).otherwise(
         F.array(F.struct(F.lit(1).cast("long").alias("times"), F.lit(False).alias("own")))

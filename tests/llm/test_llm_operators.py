@@ -400,3 +400,24 @@ def test_workers_give_back_what_a_task_freed():
     before = resident()
     assert [b.num_rows for b in releasing(run)(iter([batch, batch]))] == [2, 2]
     assert resident() - before < 100
+
+
+def test_fingerprints_look_for_anchors_once(spark, monkeypatch):
+    rng = random.Random(12)
+    ids = rng.sample(range(-(10**6), 10**6), 300)
+    rows = [(i, "".join(rng.choices("abcdefg h", k=rng.randrange(60)))) for i in ids] + [(None, "no id " * 9)] * 700 + [(ids[0], "again " * 5)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    calls = []
+    whole = syncmers.anchors
+    monkeypatch.setattr(syncmers, "anchors", lambda docs, text, out: calls.append(docs) or whole(docs, text, out))
+    out = syncmers.fingerprints(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange" in x and "Broadcast" not in x]
+    assert len(calls) == 2 and "SortMergeJoin" not in plan and sum("shufflepartitionid" in x for x in moved) == 1
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] != dict(rows[:300]).get(r[0])))
+    got = Counter((r.doc_id, r.text, r.edited, r.near_next) for r in out.collect())
+    assert sum(got.values()) == len(rows) and got[None, "no id " * 9, ("no id " * 9)[:41] + ("no id " * 9)[:13], 1.0] == 699
+    for (a, t), (b, u) in zip(order, [*order[1:], order[0]], strict=True):
+        if ids[0] not in (a, b):
+            m = len(t) // 4
+            assert got[a, t, t[: len(t) - m] + u[:m], alike(brute_anchors(t), brute_anchors(u))] >= 1
