@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decilens.functions import stats
-from decilens.operators import bm25, scan
+from decilens.operators import bm25, dense, scan
 
 QUESTIONS = "question_id string, question_text string, wikipedia_id long"
 
@@ -73,3 +73,37 @@ def test_own_articles_are_scored_for_their_own_questions(spark, monkeypatch):
     monkeypatch.setattr(bm25, "scores", None)
     got = {r.question_id: r.target_score for r in bm25.target_scores(index, q).collect()}
     assert {x: got[x] for x in want} == want and all(got[x] == 0 for x in set(got) - set(want))
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_vectors_are_held_against_questions_without_a_join(spark, monkeypatch, metric):
+    """Blocks and slices of any size give the neighbours of a brute force; blocks are not paired by a
+    join, whose batches hold many pairs, nor are vectors dealt by cell."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (130, 4)).astype(float)
+    v[7], v[9] = 0, v[8]
+    cell = np.arange(130) % 3
+    corpus = spark.createDataFrame([(i - 50, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(v, cell, strict=True))] + [(900, None, 1), (901, [9.0] * 4, None)], "wikipedia_id long, v array<double>, cell int").repartition(3)
+    asked = [i for i in range(0, 130, 9) if v[i].any()]
+    q = spark.createDataFrame([(f"v{i}", v[i].tolist(), i - 50) for i in asked], "question_id string, q array<double>, own long")
+    cells = spark.createDataFrame([(c, v[cell == c].mean(0).tolist()) for c in range(3)], "cell int, c array<double>")
+    with np.errstate(invalid="ignore"):
+        key = {i: {"l2": ((v - v[i]) ** 2).sum(1), "ip": -v @ v[i], "cosine": -(v @ v[i]) / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]))}[metric] for i in asked}
+    best = lambda i, rows: [j - 50 for j in sorted(rows, key=lambda j: (round(np.nan_to_num(key[i][j], nan=np.inf), 9), j)) if j != i][:6]
+    near = {i: np.argsort([round(((v[cell == c].mean(0) - v[i]) ** 2).sum(), 9) for c in range(3)], kind="stable")[:2] for i in asked}
+    for asked_, stored, held, sent in ((512, 4096, 32_768, 64_000_000), (4, 7, 20, 900)):
+        for name, value in (("ASKED", asked_), ("STORED", stored), ("HELD", held), ("SENT", sent)):
+            monkeypatch.setattr(dense, name, value)
+        every, probed = dense.search(q, corpus.where("wikipedia_id < 900"), 6, metric), dense.probe(q, corpus, cells, 2, 6, metric)
+        for df, want in ((every, {i: best(i, range(130)) for i in asked}), (probed, {i: best(i, np.flatnonzero(np.isin(cell, near[i]))) for i in asked})):
+            assert "Join" not in plan(df) and "Cartesian" not in plan(df)
+            got = {}
+            for r in df.orderBy("doc_rank").collect():
+                got.setdefault(int(r.question_id[1:]), []).append(r.wikipedia_id)
+            assert got == want
+    with pytest.raises(Exception, match="several lengths"):
+        dense.search(q, spark.createDataFrame([(1, [1.0] * 3), (2, [1.0] * 4)], "wikipedia_id long, v array<double>").coalesce(1), 2, metric).collect()
