@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from decilens import tables as T
 from decilens.functions import stats
+from decilens.functions import text as X
 from decilens.operators import bm25, dense, scan
 
 QUESTIONS = "question_id string, question_text string, wikipedia_id long"
@@ -107,3 +109,43 @@ def test_vectors_are_held_against_questions_without_a_join(spark, monkeypatch, m
             assert got == want
     with pytest.raises(Exception, match="several lengths"):
         dense.search(q, spark.createDataFrame([(1, [1.0] * 3), (2, [1.0] * 4)], "wikipedia_id long, v array<double>").coalesce(1), 2, metric).collect()
+
+
+def test_document_frequency_holds_terms_only(spark):
+    """df is counted by term; no task has a row for each term of each chunk."""
+    corpus, _ = texts(spark)
+    index = bm25.build(corpus, bm25.Config(chunk_size=60, chunk_overlap=10))
+    want = {r.term: r.n for r in index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.term: r.df for r in index.terms.collect()} == want
+    keys = [line for line in plan(index.terms).splitlines() if "HashAggregate(keys" in line]
+    assert keys and not any("wikipedia_id" in line for line in keys)
+
+
+def test_own_hits_are_the_postings_of_the_own_article(spark, monkeypatch):
+    corpus, q = texts(spark)
+    index = bm25.build(corpus, bm25.Config(chunk_size=60, chunk_overlap=10))
+    asked = bm25.query_terms(q).join(q.select("question_id", "wikipedia_id"), "question_id")
+    columns = ["question_id", "wikipedia_id", "chunk_id", "len", "term", "tf"]
+    want = sorted(map(tuple, asked.join(index.postings, ["term", "wikipedia_id"]).select(columns).collect()))
+    index.postings = None  # they are never made
+    assert want and sorted(map(tuple, bm25.own_hits(index, asked).select(columns).collect())) == want
+
+
+def test_questions_are_made_of_the_beginning_of_a_text(spark):
+    """As of the whole text, also where its beginning ends in a token or lacks long ones."""
+    rng = random.Random(7)
+    odd = ["", None, "x" * 700, "ab " * 400 + "longestword anotherlongone", "wo " * 199 + "cutsoonerorlater and wholewords", "\u0130stanbul " * 90, "a b c", ("word " * 12) + "." * 700 + "ninelette tenletters"]
+    rows = list(enumerate(odd + ["".join(rng.choice("aB\u00df\u03a3 _.") for _ in range(rng.randrange(300, 900))) for _ in range(60)]))
+    df = spark.createDataFrame(rows, "id int, text string")
+    t = X.tokens(F.col("text"))
+    want = df.select("id", F.array_join(F.slice(t, 1, 12), " ").alias("question_text"), F.slice(F.filter(t, lambda w: F.length(w) >= 9), 1, 2).alias("answer_texts"))
+    assert sorted(map(tuple, df.select("id", *T.asked(F.col("text"))).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_joins_of_questions_move_no_text(spark, sf_dir):
+    joined = [line for line in plan(T.question(spark, sf_dir)).splitlines() if "Exchange" in line or "Join" in line]
+    below = plan(T.question(spark, sf_dir)).split("FileScan")[1:]
+    assert joined and sum("text#" in part for part in below) == 1
+    made = [n for n, line in enumerate(plan(T.question(spark, sf_dir)).splitlines()) if "regexp_extract_all" in line]
+    last = max(n for n, line in enumerate(plan(T.question(spark, sf_dir)).splitlines()) if "Join" in line)
+    assert made and max(made) > last  # below the joins, next to the scan
