@@ -149,3 +149,9 @@ def test_joins_of_questions_move_no_text(spark, sf_dir):
     made = [n for n, line in enumerate(plan(T.question(spark, sf_dir)).splitlines()) if "regexp_extract_all" in line]
     last = max(n for n, line in enumerate(plan(T.question(spark, sf_dir)).splitlines()) if "Join" in line)
     assert made and max(made) > last  # below the joins, next to the scan
+
+
+def test_router_reads_its_questions_once(spark, sf_dir):
+    from decilens.plans import all_queries
+
+    assert "InMemoryTableScan" in plan(all_queries()[0]["router_probabilities"](spark, sf_dir))
