@@ -155,3 +155,34 @@ def test_router_reads_its_questions_once(spark, sf_dir):
     from decilens.plans import all_queries
 
     assert "InMemoryTableScan" in plan(all_queries()[0]["router_probabilities"](spark, sf_dir))
+
+
+def test_term_statistics_of_documents_as_sums(spark, monkeypatch):
+    """As of all weights, for common and shuffled terms and for ids with several rows; no window
+    stands over a row for each term of each document."""
+    from decilens.operators import tfidf
+
+    rng = random.Random(11)
+    words = [f"t{i}" for i in range(30)]
+    rows = [(i % 37, " ".join(rng.choices(words, [1 / (j + 1) for j in range(30)], k=rng.randrange(0, 25))), i % 37 % 3) for i in range(45)] + [(99, None, 1)]
+    for some in (rows, rows[:37] + rows[-1:]):
+        df = spark.createDataFrame(some, "wikipedia_id long, text string, decile int").repartition(3)
+        tf, group = {}, {i: d for i, _, d in some}
+        for i, t, _ in some:
+            for w in (t or "").split():
+                tf[i, w] = tf.get((i, w), 0) + 1
+        df_of = {w: sum((i, w) in tf for i in group) for w in words}
+        voc = {w: np.log((1 + len(some)) / (1 + n)) + 1 for w, n in df_of.items() if n >= 2}
+        raw = {(i, w): (1 + np.log(n)) * voc[w] for (i, w), n in tf.items() if w in voc}
+        norm = {i: np.sqrt(sum(x * x for (j, _), x in raw.items() if j == i)) for i in group}
+        for common in (1000, 5, 0):
+            monkeypatch.setattr(tfidf, "COMMON", common)
+            vocab = tfidf.vocabulary(df)
+            assert {r.term: r.idf for r in vocab.collect()} == pytest.approx(voc)
+            for r in tfidf.statistics(df, vocab).collect():
+                mine = [(i, w) for i, w in raw if group[i] == r.decile]
+                subs = [1 + np.log(tf[x]) for x in mine]
+                want = [np.mean([raw[x] / norm[x[0]] for x in mine]), np.mean(subs), np.std(subs, ddof=1) / np.sqrt(len(subs)), len({w for _, w in mine}) / len(voc), sum(d == r.decile for *_, d in some), len({i for i, _, d in some if d == r.decile})]
+                assert [r.mean_weight, r.mean_sublinear_tf, r.se_sublinear_tf, r.coverage, r.n, r.n_sources] == pytest.approx(want)
+                assert r.mean_terms == pytest.approx(np.mean([sum(j == i for j, _ in raw) for i, _, d in some if d == r.decile]))
+    assert "partial_count" not in "".join(line for line in plan(tfidf.statistics(df, vocab)).splitlines() if "keys=[wikipedia_id" in line and "term" in line)
